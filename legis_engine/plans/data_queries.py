@@ -57,6 +57,8 @@ CASE
   WHEN regexp_matches({c}, '^CONST\.?1963,?ART(ICLE)?\.?[0-9]+,?§[0-9]+[A-Z]?$')
     THEN 'Const 1963, art ' || regexp_extract({c}, 'ART(?:ICLE)?\.?([0-9]+)', 1) || ', § ' || lower(regexp_extract({c}, '§(.*)$', 1))
   WHEN regexp_matches({c}, '^[0-9]{{4}}PA[0-9]+$') THEN substr({c}, 1, 4) || ' PA ' || substr({c}, 7)
+  WHEN regexp_matches({c}, '^(PUBLIC)?ACT(NO\.)?[0-9]+OF(THEPUBLICACTSOF)?[0-9]{{4}}$')
+    THEN right({c}, 4) || ' PA ' || regexp_extract({c}, 'ACT(?:NO\.)?([0-9]+)OF', 1)
   ELSE {c}
 END"""
 
