@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.citations import collapse, normalize_act, normalize_citation
+from ..functions.timestamps import iso_date
 from .skew import skew_left_join
 
 DOCS, ACTS = "documents", "public_acts"
@@ -22,6 +23,17 @@ def kind_letters(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"[^A-Za-z]", ""))
 
 
+def utc_seconds(c: Column, kind: str) -> Column:
+    """Seconds since 1970 of a time column; one without a zone is UTC whatever the session's zone."""
+    if kind == "timestamp_ntz":
+        return F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), c)
+    return F.unix_seconds(c.cast("timestamp"))
+
+
+def month_of(seconds: Column) -> Column:
+    return F.substring(iso_date(seconds), 1, 7)
+
+
 def parent_index(documents: DataFrame, public_acts: DataFrame) -> DataFrame:
     """``to_table, kind, key, born, died``: one row per possible target.
 
@@ -44,7 +56,7 @@ def parent_index(documents: DataFrame, public_acts: DataFrame) -> DataFrame:
 
 
 def references(xrefs: DataFrame) -> DataFrame:
-    """``xref_id, to_table, kind, key, found, found_at``: re-delivered rows once, null keys left out.
+    """``xref_id, to_table, kind, key, found``: re-delivered rows once, null keys left out.
 
     A key the grammar does not accept keeps its collapsed text and so meets no parent.
     """
@@ -54,7 +66,7 @@ def references(xrefs: DataFrame) -> DataFrame:
     key = F.coalesce(F.when(act, normalize_act(F.col("to_key"))).otherwise(normalize_citation(F.col("to_key"))), collapse(F.col("to_key")))
     return rows.select(
         "xref_id", F.when(act, ACTS).otherwise(DOCS).alias("to_table"), kind.alias("kind"), key.alias("key"),
-        F.unix_timestamp(F.col("found_at").cast("timestamp")).alias("found"), "found_at",
+        utc_seconds(F.col("found_at"), dict(xrefs.dtypes)["found_at"]).alias("found"),
     )
 
 
@@ -78,7 +90,7 @@ def reason(found: Column) -> Column:
 def classify(probed: DataFrame) -> DataFrame:
     """Orphans at the time they were found: ``xref_id, to_table, period, reason``."""
     return probed.withColumn("reason", reason(F.col("found"))).where(F.col("reason").isNotNull()).select(
-        "xref_id", "to_table", F.date_format("found_at", "yyyy-MM").alias("period"), "reason"
+        "xref_id", "to_table", month_of(F.col("found")).alias("period"), "reason"
     )
 
 
@@ -105,8 +117,7 @@ def snapshot_counts(spells: DataFrame) -> DataFrame:
     steps = spells.select("to_table", "reason", F.col("opened").alias("t"), F.lit(1).alias("d")).unionAll(
         spells.where("closed is not null").select("to_table", "reason", F.col("closed").alias("t"), F.lit(-1).alias("d"))
     )
-    month = F.date_format(F.timestamp_seconds("t"), "yyyy-MM")
-    monthly = steps.groupBy("to_table", "reason", month.alias("period")).agg(F.sum("d").alias("d"))
+    monthly = steps.groupBy("to_table", "reason", month_of(F.col("t")).alias("period")).agg(F.sum("d").alias("d"))
     w = Window.partitionBy("to_table", "reason").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
     return monthly.select("period", "to_table", "reason", F.sum("d").over(w).cast("bigint").alias("open_orphans"))
 

@@ -53,9 +53,10 @@ CASE
     THEN 'MCL ' || regexp_extract({c}, '([0-9]+[A-Z]?)\.', 1) || '.' || lower(regexp_extract({c}, '\.([0-9]+[A-Z]*)$', 1))
   WHEN regexp_matches({c}, '^MCR[0-9]+\.[0-9]+[A-Z]?$') THEN 'MCR ' || lower(substr({c}, 4))
   WHEN regexp_matches({c}, '^MRE[0-9]+$') THEN 'MRE ' || substr({c}, 4)
-  WHEN regexp_matches({c}, '^CONST\.?1963,?SCHEDULE,?§[0-9]+[A-Z]?$') THEN 'Const 1963, Schedule, § ' || lower(regexp_extract({c}, '§(.*)$', 1))
-  WHEN regexp_matches({c}, '^CONST\.?1963,?ART(ICLE)?\.?[0-9]+,?§[0-9]+[A-Z]?$')
-    THEN 'Const 1963, art ' || regexp_extract({c}, 'ART(?:ICLE)?\.?([0-9]+)', 1) || ', § ' || lower(regexp_extract({c}, '§(.*)$', 1))
+  WHEN regexp_matches({c}, '^(CONST\.?1963|1963CONST\.?),?SCHEDULE,?§[0-9]+[A-Z]?$') THEN 'Const 1963, Schedule, § ' || lower(regexp_extract({c}, '§(.*)$', 1))
+  WHEN regexp_matches({c}, '^(CONST\.?1963|1963CONST\.?),?ART(ICLE)?\.?([0-9]+|[IVX]+),?§[0-9]+[A-Z]?$')
+    THEN 'Const 1963, art ' || coalesce(CAST(list_position(['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X', 'XI', 'XII'],
+           regexp_extract({c}, 'ART(?:ICLE)?\.?([0-9]+|[IVX]+)', 1)) AS VARCHAR), regexp_extract({c}, 'ART(?:ICLE)?\.?([0-9]+)', 1)) || ', § ' || lower(regexp_extract({c}, '§(.*)$', 1))
   WHEN regexp_matches({c}, '^[0-9]{{4}}PA[0-9]+$') THEN substr({c}, 1, 4) || ' PA ' || substr({c}, 7)
   WHEN regexp_matches({c}, '^(PUBLIC)?ACT(NO\.)?[0-9]+OF(THEPUBLICACTSOF)?[0-9]{{4}}$')
     THEN right({c}, 4) || ' PA ' || regexp_extract({c}, 'ACT(?:NO\.)?([0-9]+)OF', 1)
