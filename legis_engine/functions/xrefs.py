@@ -51,28 +51,31 @@ def chain_tokens(chain: Column) -> Column:
 
 def _chain_refs(chains: Column) -> Column:
     def one(chain: Column) -> Column:
-        tokens = chain_tokens(chain)
         spans = lambda t: F.coalesce(t["sep"].isin("to", "through"), F.lit(False))
-        return F.transform(
-            tokens, lambda t, i: _ref("mcl", mcl_key(t["raw"]), t["raw"], spans(t) | spans(F.get(tokens, i + 1)))
-        )
+        refs = lambda ts: F.transform(ts, lambda t, i: _ref("mcl", mcl_key(t["raw"]), t["raw"], spans(t) | spans(F.get(ts, i + 1))))
+        # The list is bound once: a token looks at its neighbour, which must not take the chain apart again.
+        return F.flatten(F.transform(F.array(chain_tokens(chain)), refs))
 
     return F.flatten(F.transform(chains, one))
 
 
+# The parts of a reference are taken from the reference found, not by scanning the text again.
+
+
 def _pair_refs(text: Column, pattern: str, year: int, number: int) -> Column:
-    got = F.arrays_zip(_all(text, pattern, year).alias("y"), _all(text, pattern, number).alias("n"), _all(text, pattern, 0).alias("raw"))
-    return F.transform(got, lambda p: _ref("public_act", F.concat(p["y"], F.lit(" PA "), p["n"].cast("int").cast("string")), p["raw"]))
+    part = lambda raw, i: F.regexp_extract(raw, pattern, i)
+    key = lambda raw: F.concat(part(raw, year), F.lit(" PA "), part(raw, number).cast("int").cast("string"))
+    return F.transform(_all(text, pattern, 0), lambda raw: _ref("public_act", key(raw), raw))
 
 
 def _simple_refs(text: Column, pattern: str, kind: str, prefix: str) -> Column:
-    got = F.arrays_zip(_all(text, pattern, 1).alias("k"), _all(text, pattern, 0).alias("raw"))
-    return F.transform(got, lambda p: _ref(kind, F.concat(F.lit(prefix), p["k"]), p["raw"]))
+    return F.transform(_all(text, pattern, 0), lambda raw: _ref(kind, F.concat(F.lit(prefix), F.regexp_extract(raw, pattern, 1)), raw))
 
 
 def _const_refs(text: Column) -> Column:
-    got = F.arrays_zip(_all(text, _CONST, 1).alias("a"), _all(text, _CONST, 2).alias("s"), _all(text, _CONST, 3).alias("n"), _all(text, _CONST, 0).alias("raw"))
-    return F.transform(got, lambda p: _ref("const", const_key(F.when(p["a"] != "", p["a"]).otherwise(p["s"]), p["n"]), p["raw"]))
+    part = lambda raw, i: F.regexp_extract(raw, _CONST, i)
+    article = lambda raw: F.when(part(raw, 1) != "", part(raw, 1)).otherwise(part(raw, 2))
+    return F.transform(_all(text, _CONST, 0), lambda raw: _ref("const", const_key(article(raw), part(raw, 3)), raw))
 
 
 def references_in(text: Column) -> Column:
