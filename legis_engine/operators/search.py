@@ -147,6 +147,20 @@ def _matches(tree: tuple, has: list[Column]) -> Column:
     return out
 
 
+def _counted(tree: tuple, has: list[Column], above: Column) -> dict[int, Column]:
+    """Where each phrase counts towards the score: every group it stands in must match, and what
+    is excluded never counts."""
+    if tree[0] == "p":
+        return {tree[1]: above & has[tree[1]]}
+    if tree[0] == "none":
+        return {}
+    here = above & _matches(tree, has)
+    out: dict[int, Column] = {}
+    for sub in tree[1][:1] if tree[0] == "not" else tree[1]:
+        out |= _counted(sub, has, here)
+    return out
+
+
 def _back(positions: Column, i: int) -> Column:
     return F.transform(positions, lambda p: p - i)
 
@@ -171,7 +185,7 @@ def bm25(matched: DataFrame, stats: DataFrame, id_col: str, query: Query) -> Dat
     """``id, score`` of the documents the expression accepts; lower is better.
 
     The number of documents counts all indexed ones; phrases in more than half of them get the
-    least weight instead of a negative one.
+    least weight instead of a negative one. A phrase counts where its whole group matches.
     """
     n = len(query.phrases)
     if n == 0:
@@ -180,12 +194,14 @@ def bm25(matched: DataFrame, stats: DataFrame, id_col: str, query: Query) -> Dat
     dfs = matched.agg(*[F.coalesce(F.sum((F.col(f"f{k}") > 0).cast("int")), F.lit(0)).alias(f"n{k}") for k in range(n)])
     # Both sides are one row by construction.
     one = corpus.join(F.broadcast(dfs), F.lit(True))
-    d = matched.where(_matches(query.tree, [F.col(f"f{k}") > 0 for k in range(n)])).join(stats, id_col).join(F.broadcast(one), F.lit(True))
+    has = [F.col(f"f{k}") > 0 for k in range(n)]
+    counted = _counted(query.tree, has, F.lit(True))
+    d = matched.where(_matches(query.tree, has)).join(stats, id_col).join(F.broadcast(one), F.lit(True))
     score = F.lit(0.0)
-    for k in range(n):
+    for k, where in counted.items():
         raw = F.log((F.col("_n") - F.col(f"n{k}") + 0.5) / (F.col(f"n{k}") + 0.5))
         idf = F.when(raw <= 0, 1e-6).otherwise(raw)
-        f = F.col(f"f{k}")
+        f = F.when(where, F.col(f"f{k}")).otherwise(0.0)
         norm = f + K1 * (1 - B + B * F.col("tokens") / F.col("_avg"))
         score = score - idf * f * (K1 + 1) / norm
     return d.select(id_col, score.alias("score"))
