@@ -122,3 +122,23 @@ def sort_key(citation: Column) -> Column:
 def chapter_of(citation: Column) -> Column:
     """Chapter of a canonical section citation, null for the other kinds."""
     return F.nullif(F.regexp_extract(citation, r"^MCL ([0-9]{1,3}[A-Z]?)\.", 1), F.lit(""))
+
+
+_SECTION_NAME = r"^mcl-([0-9]{1,3}[A-Za-z]?)-([0-9]{1,5}[A-Za-z]{0,3})(?:-([a-z]+)|(\[[A-Za-z0-9]+\]))?$"
+_ACT_NAME = r"(?i)^mcl-act-([0-9]+)-of-([0-9]{4})$"
+
+
+def section_of_object(name: Column) -> Column:
+    """``struct(citation, variant)`` of a section's object name; variant words are lower case, so
+    division names do not match. Null if the name is none."""
+    g = lambda i: F.regexp_extract(name, _SECTION_NAME, i)
+    cite = normalize_citation(F.concat(g(1), F.lit("."), g(2)))
+    return F.when(
+        name.rlike(_SECTION_NAME) & cite.isNotNull(),
+        F.struct(cite.alias("citation"), F.nullif(F.concat(g(3), g(4)), F.lit("")).alias("variant")),
+    )
+
+
+def act_of_object(name: Column) -> Column:
+    g = lambda i: F.regexp_extract(name, _ACT_NAME, i)
+    return F.when(name.rlike(_ACT_NAME), F.concat(g(2), F.lit(" PA "), g(1).cast("int").cast("string")))
