@@ -127,4 +127,73 @@ v AS (SELECT * FROM l WHERE n = 1 OR h IS DISTINCT FROM ph OR status IS DISTINCT
 SELECT document_id, first_seen AS valid_from, coalesce(lead(first_seen) OVER (PARTITION BY document_id ORDER BY first_seen), '') AS valid_to, status
 FROM v"""
 
-ORACLES = {"p2_found": _P2, "p4_found": _P4, "p4_counts": _P4_COUNTS, "p5_found": _P5}
+# Dates and times in the oracle's own words: one pattern per written form, fields as text.
+_MONTHS = "'janfebmaraprmayjunjulaugsepoctnovdec'"
+_Z = r"\s?(z|[a-z]{{2,4}}|[+-]\d\d:?\d\d|[a-z]+/[a-z_]+)?"
+
+
+def _form(pattern: str, y: int, mo: int, d: int, h: int, mi: int, s: int, ap: int, z: int) -> str:
+    p = pattern.replace("{{", "{").replace("}}", "}")
+    g = lambda i: f"regexp_extract(v, '{p}', {i})" if i else "''"
+    return f"SELECT *, {g(y)} AS y, {g(mo)} AS mo, {g(d)} AS d, {g(h)} AS h, {g(mi)} AS mi, {g(s)} AS s, {g(ap)} AS ap, {g(z)} AS z FROM v WHERE regexp_matches(v, '{p}')"
+
+
+_TIME_FORMS = " UNION ALL ".join([
+    _form(r"^(\d{{4}})-(\d\d)-(\d\d)[t ](\d\d):(\d\d)(?::(\d\d)(?:\.\d+)?)?" + _Z + "$", 1, 2, 3, 4, 5, 6, 0, 7),
+    _form(r"^(\d{{4}})(\d\d)(\d\d)t(\d\d)(\d\d)(\d\d)(z)$", 1, 2, 3, 4, 5, 6, 0, 7),
+    _form(r"^(?:[a-z]+, )?(\d{{1,2}})[ -]([a-z]+)[ -](\d{{4}}|\d\d) (\d\d):(\d\d)(?::(\d\d))?" + _Z + "$", 3, 2, 1, 4, 5, 6, 0, 7),
+    _form(r"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}) (\d{{1,2}}):(\d\d) ([ap])m$", 3, 1, 2, 4, 5, 0, 6, 0),
+    _form(r"^([a-z]+) (\d{{1,2}}), (\d{{4}}) (\d{{1,2}}):(\d\d) ([ap])\.m\." + _Z + "$", 3, 1, 2, 4, 5, 0, 6, 7),
+])
+_DATE_FORMS = " UNION ALL ".join([
+    _form(r"^([a-z]+)\.? (\d{{1,2}})(?:st|nd|rd|th)?(?:, ?| )(\d{{4}})(?:\.|, .*)?$", 3, 1, 2, 0, 0, 0, 0, 0),
+    _form(r"^(?:the )?(\d{{1,2}})(?:st|nd|rd|th)?(?: day of)? ([a-z]+),? (\d{{4}})$", 3, 2, 1, 0, 0, 0, 0, 0),
+    _form(r"^(\d{{4}})-?(\d\d)-?(\d\d)$", 1, 2, 3, 0, 0, 0, 0, 0),
+    _form(r"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})$", 3, 1, 2, 0, 0, 0, 0, 0),
+])
+_BLANK = r"'[\s\x{A0}]+'"
+
+
+def _times(rows: str, keys: str) -> str:
+    """SQL giving ``keys, utc`` of ``rows`` (keys, value, zone)."""
+    month = f"CASE WHEN mo BETWEEN '00' AND '99' THEN mo ELSE CAST((instr({_MONTHS}, substr(mo, 1, 3)) + 2) // 3 AS VARCHAR) END"
+    hour = "CASE WHEN ap = '' THEN h WHEN CAST(h AS INTEGER) BETWEEN 1 AND 12 THEN CAST(CAST(h AS INTEGER) % 12 + CASE WHEN ap = 'p' THEN 12 ELSE 0 END AS VARCHAR) END"
+    return f"""
+  SELECT {keys}, utc FROM (
+    WITH v AS (SELECT *, lower(trim(regexp_replace(value, {_BLANK}, ' ', 'g'))) AS v FROM ({rows})),
+    f AS ({_TIME_FORMS}),
+    w AS (SELECT *, TRY_CAST((CASE WHEN length(y) = 2 THEN '20' || y ELSE y END) || '-' || lpad({month}, 2, '0') || '-' || lpad(d, 2, '0') || ' ' ||
+                 lpad({hour}, 2, '0') || ':' || mi || ':' || (CASE WHEN s = '' THEN '00' ELSE s END) AS TIMESTAMP) AS wall,
+                 CASE WHEN z IN ('z', 'utc', 'ut', 'gmt') THEN 0 WHEN z = 'est' THEN -300 WHEN z = 'edt' THEN -240 WHEN z = 'cst' THEN -360 WHEN z = 'cdt' THEN -300
+                      WHEN z[1] IN ('+', '-') THEN CAST(z[1] || '1' AS INTEGER) * (CAST(z[2:3] AS INTEGER) * 60 + CAST(z[-2:] AS INTEGER)) END AS minutes,
+                 CASE WHEN z = '' THEN coalesce(zone, 'UTC') WHEN contains(z, '/') THEN z END AS region
+          FROM f),
+    u AS (SELECT *, CASE WHEN minutes IS NOT NULL THEN wall - to_minutes(minutes)
+                         WHEN region IS NOT NULL THEN CASE WHEN timezone(region, timezone(region, wall) - INTERVAL 1 HOUR) = wall THEN timezone('UTC', timezone(region, wall) - INTERVAL 1 HOUR)
+                                                           ELSE timezone('UTC', timezone(region, wall)) END END AS utc FROM w WHERE wall IS NOT NULL)
+    SELECT {keys}, utc FROM u WHERE utc IS NOT NULL
+    UNION ALL SELECT {keys}, make_timestamp(CAST(v AS BIGINT) * CASE WHEN length(v) = 10 THEN 1000000 ELSE 1000 END) FROM v WHERE regexp_matches(v, '^([0-9]{{10}}|[0-9]{{13}})$'))"""
+
+
+_P1 = f"""
+SELECT src_table, row_id, strftime(utc, '%Y-%m-%dT%H:%M:%SZ') AS normal_form FROM ({_times("""
+    SELECT DISTINCT 'source_files' AS src_table, entry_id AS row_id, modified AS value, listing_zone AS zone FROM source_files
+    UNION ALL SELECT DISTINCT 'feed_events', event_id, published, 'UTC' FROM feed_events""", "src_table, row_id")})
+UNION ALL
+SELECT 'history_entries', row_id, strftime(day, '%Y-%m-%d') FROM (
+  WITH v AS (SELECT *, lower(trim(regexp_replace(value, {_BLANK}, ' ', 'g'))) AS v FROM (SELECT DISTINCT entry_id AS row_id, effective_raw AS value FROM history_entries)),
+  f AS ({_DATE_FORMS})
+  SELECT row_id, TRY_CAST(y || '-' || lpad(CASE WHEN mo BETWEEN '00' AND '99' THEN mo ELSE CAST((instr({_MONTHS}, substr(mo, 1, 3)) + 2) // 3 AS VARCHAR) END, 2, '0') || '-' || lpad(d, 2, '0') AS DATE) AS day FROM f)
+WHERE day IS NOT NULL"""
+
+_P3 = f"""
+WITH ok AS (SELECT source, run_id, min(started_at) AS began FROM runs GROUP BY source, run_id HAVING max(CASE WHEN lower(trim(status)) = 'ok' THEN 1 ELSE 0 END) = 1),
+l AS (SELECT DISTINCT run_id, source, name, size, lower(nullif(trim(sha256), '')) AS sha, modified, listing_zone FROM source_files),
+t AS ({_times("SELECT DISTINCT modified AS key, listing_zone, modified AS value, listing_zone AS zone FROM source_files WHERE modified IS NOT NULL", "key, listing_zone")}),
+m AS (SELECT l.run_id, l.source, l.name, l.size, l.sha, t.utc, ok.began FROM l JOIN ok USING (source, run_id)
+      LEFT JOIN t ON t.key = l.modified AND t.listing_zone IS NOT DISTINCT FROM l.listing_zone),
+p AS (SELECT *, lag(size) OVER w AS psize, lag(sha) OVER w AS psha, lag(utc) OVER w AS putc, row_number() OVER w AS n FROM m WINDOW w AS (PARTITION BY source, name ORDER BY began, run_id))
+SELECT run_id, source, name FROM p
+WHERE n = 1 OR CASE WHEN sha IS NOT NULL AND psha IS NOT NULL THEN sha <> psha ELSE size IS DISTINCT FROM psize OR utc IS DISTINCT FROM putc END"""
+
+ORACLES = {"p1_found": _P1, "p2_found": _P2, "p3_found": _P3, "p4_found": _P4, "p4_counts": _P4_COUNTS, "p5_found": _P5}
