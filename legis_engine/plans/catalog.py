@@ -369,16 +369,21 @@ def merge_replay_counts(spark, d):
 # --- history, feed, manifest, bills ----------------------------------------------------------------
 
 
-@query("""SELECT DISTINCT entry_id, kind, act_citation, immediate_effect, effective_raw FROM history_entries
-WHERE kind <> 'other' AND regexp_matches(raw, '^((Am|Add|Rep|Comp|Sub)\\. )?[0-9]{4}, Act [0-9]+') AND effective_raw = trim(regexp_replace(effective_raw, '\\s+', ' ', 'g')) AND NOT regexp_matches(effective_raw, '\\x{A0}') AND effective_raw <> ''""")
+_ENTRY = r"(?i)^((am|add|rep|comp|sub)\.? )?[0-9]{4}, ?act [0-9]+(, ?(imd\. ?)?eff\. ?.+)?$"
+
+
+@query(rf"""
+WITH r AS (SELECT DISTINCT entry_id, trim(regexp_replace(raw, '[\s\x{{A0}}]+', ' ', 'g')) AS x FROM history_entries WHERE raw IS NOT NULL),
+m AS (SELECT *, regexp_matches(x, '{_ENTRY}') AS fits, lower(regexp_extract(x, '(?i)^(am|add|rep|comp|sub)\.? ', 1)) AS op, regexp_extract(x, '(?i)eff\. ?(.+)$', 1) AS eff FROM r WHERE x <> '')
+SELECT entry_id, CASE WHEN NOT fits THEN 'other' ELSE CASE op WHEN '' THEN 'enacted' WHEN 'am' THEN 'amended' WHEN 'add' THEN 'added' WHEN 'rep' THEN 'repealed' WHEN 'comp' THEN 'compiled' ELSE 'substituted' END END AS kind,
+  CASE WHEN fits THEN regexp_extract(x, '([0-9]{{4}}),', 1) || ' PA ' || CAST(CAST(regexp_extract(x, '(?i)act ([0-9]+)', 1) AS INTEGER) AS VARCHAR) END AS act_citation,
+  fits AND regexp_matches(x, '(?i), ?imd\. ?eff\.') AS immediate_effect, CASE WHEN fits THEN nullif(trim(eff), '') END AS effective_raw
+FROM m""")
 def history_parse(spark, d):
-    """Entries parsed from their raw text; the table states the answer beside it."""
-    h = table(spark, d, "history_entries").distinct()
-    clean = F.col("effective_raw") == F.trim(F.regexp_replace("effective_raw", r"\s+", " "))
-    keep = h.where((F.col("kind") != "other") & F.col("raw").rlike(r"^((Am|Add|Rep|Comp|Sub)\. )?[0-9]{4}, Act [0-9]+") & clean & ~F.col("effective_raw").contains(" ") & (F.col("effective_raw") != ""))
-    # An entry without an operation word is the enactment only where it stands first.
-    e = keep.select("entry_id", F.get(parse_history(F.col("raw")), 0).alias("e")).select("entry_id", "e.*")
-    return e.select("entry_id", "kind", "act_citation", "immediate_effect", "effective_raw").distinct()
+    """Every entry's raw text parsed by itself."""
+    h = table(spark, d, "history_entries").where("raw is not null").select("entry_id", "raw").distinct()
+    e = h.select("entry_id", F.get(parse_history(F.col("raw")), 0).alias("e")).where("e is not null").select("entry_id", "e.*")
+    return e.select("entry_id", "kind", "act_citation", "immediate_effect", "effective_raw")
 
 
 @query("SELECT DISTINCT event_id, kind, citation, act_citation, nullif(variant, '') AS variant FROM feed_events")
