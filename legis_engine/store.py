@@ -1,4 +1,9 @@
-"""The store: immutable snapshot folders and one pointer file; the pointer's rename is the commit."""
+"""The store: immutable folders and one pointer file; the pointer's rename is the commit.
+
+A snapshot folder holds the current state. What never changes again, closed versions and the
+change log, is appended in a folder per run, so a run writes the current state and its own
+news, never the history.
+"""
 
 from __future__ import annotations
 
@@ -23,6 +28,7 @@ RUNS = (
 )
 XREFS = "source string, citation string, seq int, kind string, key string, raw string, in_range boolean"
 TABLES = {"documents": mg.DOCUMENTS, "versions": mg.VERSIONS, "changes": mg.CHANGES, "ranges": RANGES, "acts": ACTS, "xrefs": XREFS}
+APPENDED = ("versions", "changes")
 
 
 class Conflict(RuntimeError):
@@ -46,7 +52,7 @@ class Store:
             with open(os.path.join(self.folder, "_current.json")) as f:
                 return json.load(f)
         except FileNotFoundError:
-            return {"schema_version": SCHEMA_VERSION, "snapshot": None, "runs": []}
+            return {"schema_version": SCHEMA_VERSION, "snapshot": None, "appended": [], "runs": []}
 
     def _point(self, p: dict) -> None:
         new = os.path.join(self.folder, f"_next-{uuid.uuid4().hex}.json")
@@ -56,11 +62,15 @@ class Store:
             os.fsync(f.fileno())
         os.replace(new, os.path.join(self.folder, "_current.json"))
 
-    def table(self, name: str) -> DataFrame:
-        at = self.pointer()["snapshot"]
-        if at is None:
+    def table(self, name: str, current: bool = False) -> DataFrame:
+        """A table as of the last commit; ``current``: of versions the current ones only."""
+        p = self.pointer()
+        if p["snapshot"] is None:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(os.path.join(self.folder, at, name))
+        at = [] if name == "changes" else [os.path.join(p["snapshot"], name)]
+        if name in APPENDED and not current:
+            at += [os.path.join(a, name) for a in p["appended"]]
+        return self.spark.read.schema(TABLES[name]).parquet(*[os.path.join(self.folder, a) for a in at])
 
     def runs(self) -> DataFrame:
         return self.spark.createDataFrame([tuple(r.get(c.split()[0]) for c in RUNS.split(", ")) for r in self.pointer()["runs"]], RUNS)
@@ -75,14 +85,17 @@ class Store:
         base = {"run_id": run_id, "source": crawl.name, "started_at": now, "complete_crawl": crawl.complete, "scope": scope, "source_currency": crawl.currency}
         run = mg.Run(run_id, now, crawl.name, crawl.kinds, crawl.complete, crawl.chapters, guard)
         try:
-            m = mg.merge(self.table("documents"), self.table("versions"), crawl.documents, run)
+            # Each document has one current version, its latest, so the merge needs no closed ones.
+            m = mg.merge(self.table("documents"), self.table("versions", current=True), crawl.documents, run)
             ranges = self.table("ranges") if crawl.ranges is None else mg.merge_ranges(self.table("ranges"), crawl.ranges, run)
             acts = self.table("acts") if crawl.acts is None else mg.merge_acts(self.table("acts"), crawl.acts)
             snap = f"snap={run_id:08d}-{uuid.uuid4().hex[:8]}"
-            write = lambda df, name: df.select(*[c.split()[0] for c in TABLES[name].split(", ")]).write.parquet(os.path.join(self.folder, snap, name))
+            news = f"run={run_id:08d}-{uuid.uuid4().hex[:8]}"
+            write = lambda df, name, into=snap: df.select(*[c.split()[0] for c in TABLES[name].split(", ")]).write.parquet(os.path.join(self.folder, into, name))
             write(m.documents, "documents")
-            write(m.versions, "versions")
-            write(self.table("changes").unionByName(m.changes), "changes")
+            write(m.versions.where("is_current"), "versions")
+            write(m.versions.where("not is_current"), "versions", news)
+            write(m.changes, "changes", news)
             write(ranges, "ranges")
             write(acts, "acts")
             # References are a function of the current versions, so they are derived, not maintained.
@@ -96,15 +109,16 @@ class Store:
         if self.pointer()["snapshot"] != p["snapshot"]:
             raise Conflict("the store changed while this run was merging")
         done = base | {k: v for k, v in m.report.items() if k.startswith("docs_")} | {"finished_at": now, "status": "ok"}
-        self._point(p | {"snapshot": snap, "runs": [*p["runs"], done]})
+        self._point(p | {"snapshot": snap, "appended": [*p["appended"], news], "runs": [*p["runs"], done]})
         return m.report
 
     def collect_garbage(self) -> list[str]:
-        """Snapshot folders no pointer names; removed."""
+        """Folders the pointer does not name (old snapshots, runs that failed); removed."""
         import shutil
 
-        live = self.pointer()["snapshot"]
-        dead = [d for d in sorted(os.listdir(self.folder)) if d.startswith("snap=") and d != live]
+        p = self.pointer()
+        live = {p["snapshot"], *p["appended"]}
+        dead = [d for d in sorted(os.listdir(self.folder)) if d.startswith(("snap=", "run=")) and d not in live]
         for d in dead:
             shutil.rmtree(os.path.join(self.folder, d))
         return dead

@@ -106,6 +106,10 @@ def test_rerun_restore_guard_and_failures(spark, filled, tmp_path):
     assert p["snapshot"] == before and [r["status"] for r in p["runs"][-2:]] == ["failed", "failed"]
     part = store.ingest(crawl(spark, tmp_path / "part", DAY1[:2], complete=False), now=T3)
     assert counts(part) == (0, 0, 0, 0)
+    versions, changes = store.table("versions").count(), store.table("changes").count()
+    assert store.collect_garbage() and (store.table("versions").count(), store.table("changes").count()) == (versions, changes) == (9, 12)
+    one = store.table("versions").where("citation = 'MCL 750.83'").orderBy("version_no").collect()
+    assert [(v.version_no, v.is_current) for v in one] == [(1, False), (2, False), (3, True)]
 
 
 def test_repeated_key_in_one_run_counts_in_order(spark, tmp_path):
