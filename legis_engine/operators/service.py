@@ -111,7 +111,7 @@ def range_hits(refs: DataFrame, ranges: DataFrame, key_col: str = "key", max_ran
     if right.limit(max_ranges + 1).count() <= max_ranges:
         return left.join(F.broadcast(right), inside, "left").drop("_k", "_lo", "_hi")
     spread = right.withColumn("_ch", F.explode(F.sequence("_lo.n1", "_hi.n1")))
-    return left.withColumn("_ch", F.col("_k.n1")).join(spread, ["_ch"], "left").where(F.col("_lo").isNull() | inside).drop("_k", "_lo", "_hi", "_ch")
+    return left.join(spread, (F.col("_k.n1") == F.col("_ch")) & inside, "left").drop("_k", "_lo", "_hi", "_ch")
 
 
 def list_changes(changes: DataFrame, since: str, source: str | None = None, change_type: str | None = None, limit: int | None = None) -> DataFrame:
