@@ -43,7 +43,7 @@ class Node:
         """Direct children only."""
         return [k for k in self.kids if isinstance(k, Node) and (tag is None or k.tag == tag) and (cls is None or cls in k.classes())]
 
-    def text(self) -> str:
+    def text(self, gap: str = "") -> str:
         out: list[str] = []
         stack: list[Node | str] = [self]
         while stack:
@@ -52,7 +52,7 @@ class Node:
                 out.append(k)
             elif k.tag not in HIDDEN:
                 stack.extend(reversed(k.kids))
-        return "".join(out)
+        return gap.join(out)
 
     def value(self, tag: str) -> str:
         """Text of a direct child, white space as it is."""

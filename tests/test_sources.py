@@ -183,3 +183,15 @@ def test_bill_report(spark, tmp_path):
     (tmp_path / "b.html").write_text('<main><form><input name="dateFrom" value="2026-01-01"></form><h3>Introduced</h3><table><tbody><tr><td><a href="?objectName=2026-HB-4001">HB 4001</a></td><td>Amends MCL 750.1</td></tr></tbody></table></main>')
     r = bill_report(spark, str(tmp_path)).first()
     assert (r.stage, r.year, r.type, r.number, r.description, r.date_from) == ("Introduced", 2026, "HB", 4001, "Amends MCL 750.1", "2026-01-01")
+
+
+def test_currency_stamp_anywhere_on_the_page(spark, tmp_path):
+    page = lambda n, head, tail: f"""<html><body>{head}<div class="chapterWrapper"><div class="chapterHeading"><h1>Chapter {n}</h1><h2>CODE</h2></div>
+    <div class="statuteWrapper"><div class="statuteHeading"><h1>THE CODE</h1><h2>Act 328 of 1931</h2></div>{WRAP.format(n=f"{n}.1", catch="Short title.")}</div></div>{tail}</body></html>"""
+    stamp, long = "<p>Michigan Compiled Laws Complete\nThrough PA {} of {}</p>", f"<footer>{'Words behind it. ' * 400}</footer>"
+    (tmp_path / "a.html").write_text(page("750", stamp.format(12, 2025), long))
+    (tmp_path / "b.html").write_text(page("751", "", stamp.format(91, 2026)))
+    (tmp_path / "c.html").write_text(page("752", "", long))
+    assert get_source(spark, "mcl-files", str(tmp_path)).currency == "Michigan Compiled Laws Complete Through PA 12 of 2025"
+    assert [r["text"] for r in ch.html_rows(page("753", "<b>Complete Through</b><i>PA 7 of 2024</i>", "")) if r["row"] == "chapter"] == ["Complete Through PA 7 of 2024"]
+    assert [r["text"] for r in ch.html_rows(page("754", "", long)) if r["row"] == "chapter"] == [None]
