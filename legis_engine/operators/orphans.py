@@ -131,7 +131,8 @@ class OrphanState:
     """Pending-orphan state moved batch by batch; every frame is keyed by (to_table, kind, key).
 
     ``parents`` is the index so far, ``refs`` all references seen with their state (open or
-    resolved). A batch brings new references, arriving parents and deletions up to ``now``.
+    resolved). A batch brings new references, arriving parents and deletions. A parent that
+    arrives again after its deletion is live again; one deleted at its arrival is not.
     """
 
     def __init__(self, refs: DataFrame, parents: DataFrame):
@@ -146,13 +147,15 @@ class OrphanState:
 
     def step(self, refs: DataFrame, arrivals: DataFrame, deletions: DataFrame) -> OrphanState:
         keys = ["to_table", "kind", "key"]
-        parents = self.parents.unionByName(arrivals.select(*keys, "born", F.lit(None).cast("bigint").alias("died")))
-        gone = deletions.select(*keys, F.col("died").alias("_died"))
-        parents = parents.groupBy(*keys).agg(F.min("born").alias("born"), F.max("died").alias("died")).join(gone, keys, "left")
-        parents = parents.select(*keys, "born", F.coalesce("_died", "died").alias("died"))
+        none = F.lit(None).cast("bigint")
+        # A parent without a date of arrival was always there.
+        came, gone = arrivals.select(*keys, F.coalesce("born", F.lit(-(1 << 63))).alias("born"), none.alias("died")), deletions.select(*keys, none.alias("born"), "died")
+        # Latest arrival and latest deletion count, whatever order and batch they come in.
+        parents = self.parents.unionByName(came).unionByName(gone).groupBy(*keys).agg(F.max("born").alias("born"), F.max("died").alias("died"))
+        parents = parents.withColumn("died", F.when(F.col("born").isNull() | (F.col("died") >= F.col("born")), F.col("died")))
         # Only keys with news or new references are probed; resolved ones wait untouched.
         news = arrivals.select(*keys).union(deletions.select(*keys)).distinct().withColumn("_news", F.lit(True))
-        live = parents.where("died is null").select(*keys, F.lit(True).alias("_live"))
+        live = parents.where("born is not null and died is null").select(*keys, F.lit(True).alias("_live"))
         old = self.refs.join(news, keys, "left").join(live, keys, "left").select(
             "xref_id", *keys, "found", F.when(F.col("_news"), F.col("_live").isNull()).otherwise(F.col("open")).alias("open")
         )

@@ -249,6 +249,26 @@ def test_orphan_state_in_batches_equals_the_snapshot(spark):
     assert counts
 
 
+def test_orphan_state_parent_that_arrives_again(spark):
+    key, none = ("documents", "mcl", "MCL 1.1"), "to_table string, kind string, key string, "
+    refs = lambda *rows: spark.createDataFrame([(i, *key, t) for i, t in rows], f"xref_id bigint, {none}found bigint")
+    came = lambda *ts: spark.createDataFrame([(*key, t) for t in ts], f"{none}born bigint")
+    gone = lambda *ts: spark.createDataFrame([(*key, t) for t in ts], f"{none}died bigint")
+    is_open = lambda s: [r.open for r in s.refs.orderBy("xref_id").collect()]
+    s = OrphanState.empty(spark).step(refs((1, 5)), came(10), gone())
+    assert is_open(s) == [False]
+    s = s.step(refs(), came(), gone(20, 20))
+    assert is_open(s) == [True]
+    s = s.step(refs((2, 31)), came(30), gone())
+    assert is_open(s) == [False, False]
+    s = s.step(refs(), came(10), gone(20))  # delivered again: changes nothing
+    assert is_open(s) == [False, False]
+    assert is_open(s.step(refs(), came(50), gone(40))) == [False, False]
+    assert is_open(s.step(refs(), came(40), gone(40))) == [True, True]
+    assert is_open(OrphanState.empty(spark).step(refs((1, 5)), came(), gone(20)).step(refs(), came(10), gone())) == [True]
+    assert is_open(OrphanState.empty(spark).step(refs((1, 5)), came(None), gone())) == [False]
+
+
 # --- problem 5 ------------------------------------------------------------------------------------
 
 VERS = "document_id bigint, first_seen string, content_hash string, status string, valid_from string, _hot string"
