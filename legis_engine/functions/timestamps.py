@@ -6,7 +6,9 @@ many of the stated conventions it breaks (0: the reading the conventions ask for
 
 Conventions: slashed dates are month/day/year; two-digit years are 20yy; an offset or zone in
 the value wins; abbreviations are fixed offsets; a wall time that occurs twice is the first
-occurrence; a skipped one is read with the offset before the change.
+occurrence; a skipped one is read with the offset before the change. Bare digits are Unix
+seconds if there are 9 to 11, milliseconds if there are 12 or 13; fewer or more have no reading
+(8 are a date, 14 may be a date and time run together).
 """
 
 from __future__ import annotations
@@ -160,7 +162,7 @@ def with_time_candidates(df: DataFrame, value: str, zone: str, out: str) -> Data
     d = d.withColumn("_f", _fields(F.col("_v"), _TIMES, TIME_FORMS))
     d = d.withColumns({"_form": num(0), "_y": num(1), "_short": F.length(F.get("_f", 1)) == 2, "_m": _month(F.get("_f", 2)), "_d": num(3),
                        "_h": num(4), "_mi": num(5), "_s": F.when(F.get("_f", 6) == "", 0).otherwise(num(6)), "_ap": F.get("_f", 7), "_z": F.get("_f", 8),
-                       "_digits": F.when(F.col("_v").rlike("^[0-9]{9,14}$"), F.col("_v").try_cast("bigint"))})
+                       "_digits": F.when(F.col("_v").rlike("^[0-9]{9,13}$"), F.col("_v").try_cast("bigint"))})
     d = with_zone(with_zone(d, F.col("_z"), "_region"), F.col(zone), "_own")
     stated = F.coalesce(F.col("_z") != "", F.lit(False))
     hour12 = F.when(F.col("_h").between(1, 12), F.col("_h") % 12 + F.when(F.col("_ap") == "P", 12).otherwise(0))
@@ -184,15 +186,14 @@ def with_time_candidates(df: DataFrame, value: str, zone: str, out: str) -> Data
     later = F.col("_u0") + 3600
     zoned = F.col("_fixed").isNull() & F.col("_zone").isNotNull() & (F.col("_zone") != "UTC") & F.col("_u0").isNotNull()
     d = d.withColumn("_again", F.when(zoned, F.when(_wall_of(later, F.col("_zone")) == F.col("_w0"), later)))
-    low, high = 631152000, 4102444800  # 1990 to 2100: what bare digits can mean
-    unix = lambda x: F.when((x >= low) & (x < high), x)
+    short = F.length("_v") <= 11  # seconds up to 11 digits, beyond that milliseconds
     form = F.col("_form")
     return d.select(
         *keep,
         F.when(F.col("_f").isNotNull(), _real(_candidate(form, F.col("_u0"), 0), _candidate(form, F.col("_again"), 1), _candidate(form, F.col("_u1"), 1), _candidate(form, F.col("_u2"), 1)))
         .when(F.col("_digits").isNotNull(), _real(
-            _candidate(F.lit(TIME_FORMS.index("seconds")), unix(F.col("_digits")), 0),
-            _candidate(F.lit(TIME_FORMS.index("millis")), unix(F.floor(F.col("_digits") / 1000).cast("bigint")), 0)))
+            _candidate(F.lit(TIME_FORMS.index("seconds")), F.when(short, F.col("_digits")), 0),
+            _candidate(F.lit(TIME_FORMS.index("millis")), F.when(~short, F.floor(F.col("_digits") / 1000).cast("bigint")), 0)))
         .otherwise(F.array().cast(CANDIDATE)).alias(out),
     )
 

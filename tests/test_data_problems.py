@@ -32,6 +32,16 @@ DATES = {
 }
 
 
+def test_bare_digits_by_their_number(spark):
+    want = {
+        "599616000": "1989-01-01T00:00:00Z", "599616000000": "1989-01-01T00:00:00Z", "100000000": "1973-03-03T09:46:40Z", "4102444800": "2100-01-01T00:00:00Z",
+        "9999999999999": "2286-11-20T17:46:39Z", "20221212": None, "20221212025324": None,
+    }
+    df = spark.createDataFrame([(v, "America/Detroit") for v in want], "v string, z string")
+    got = with_time_candidates(df, "v", "z", "c").select("v", iso_instant(by_convention(F.col("c"))).alias("n"), F.size("c").alias("k")).collect()
+    assert {r.v: r.n for r in got} == want and all(r.k <= 1 for r in got)
+
+
 def test_readings_by_convention(spark):
     df = spark.createDataFrame([(v, "America/Detroit") for v in INSTANTS], "v string, z string")
     got = with_time_candidates(df, "v", "z", "c").select("v", iso_instant(by_convention(F.col("c"))).alias("n")).collect()
