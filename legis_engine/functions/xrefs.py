@@ -78,11 +78,16 @@ def _const_refs(text: Column) -> Column:
     return F.transform(_all(text, _CONST, 0), lambda raw: _ref("const", const_key(article(raw), part(raw, 3)), raw))
 
 
+def section_chains(text: Column) -> Column:
+    """Chains of sections that "MCL" leads in, each as it is written; null text: none."""
+    return _all(F.coalesce(text, F.lit("")), _MCL_CHAIN, 1)
+
+
 def references_in(text: Column) -> Column:
     """All references of a text in the order they are emitted, repeats included; null text: none."""
     t = F.coalesce(text, F.lit(""))
     return F.concat(
-        _chain_refs(_all(t, _MCL_CHAIN, 1)), _chain_refs(_all(t, _BEING_CHAIN, 1)),
+        _chain_refs(section_chains(text)), _chain_refs(_all(t, _BEING_CHAIN, 1)),
         _pair_refs(t, _ACT_A, 1, 2), _pair_refs(t, _ACT_B, 2, 1),
         _simple_refs(t, _MCR, "mcr", "MCR "), _simple_refs(t, _MRE, "mre", "MRE "), _const_refs(t),
     ).cast(REF)

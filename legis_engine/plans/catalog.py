@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.citations import normalize_citation, roman_to_int, sort_key
 from ..functions.history import parse_history
-from ..functions.xrefs import chain_tokens, extract_xrefs, narrative_ranges, references_in
+from ..functions.xrefs import chain_tokens, extract_xrefs, narrative_ranges, references_in, section_chains
 from ..operators import feed as fd
 from ..operators import manifest as mf
 from ..operators import search as se
@@ -215,10 +215,14 @@ def xref_documents(spark, d):
 @query("""
 SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\bMCL\\s+0*[1-9][0-9]{0,2}[A-Za-z]?\\.[0-9]{1,5}')) AS r FROM documents) GROUP BY doc_id""")
 def xref_chains(spark, d):
-    """Chains that start with a section, per document."""
-    refs = F.expr("1")
-    chains = F.regexp_count(F.col("text"), F.lit(r"(?i)\bMCL\s+(?!0{1,3}[A-Za-z]?\.)[0-9]{1,3}[A-Za-z]?\.[0-9]{1,5}"))
-    return table(spark, d, "documents").select("doc_id", big(chains * refs).alias("n")).where("n > 0")
+    """Chains that start with a section, per document, as the operator finds them."""
+    return table(spark, d, "documents").select("doc_id", big(F.size(section_chains(F.col("text")))).alias("n")).where("n > 0")
+
+
+@query()
+def xref_documents_all(spark, d):
+    """All references of the texts, of every kind, with the members of section chains."""
+    return extract_xrefs(table(spark, d, "documents"), "doc_id", "text")
 
 
 _SECTIONS = """SELECT CAST(l_orderkey AS VARCHAR) AS id, l_orderkey, min(l_partkey) AS a, max(l_suppkey) AS b FROM lineitem GROUP BY l_orderkey"""
