@@ -21,7 +21,9 @@ from ..operators import manifest as mf
 from ..operators import search as se
 from ..operators import service as sv
 from ..operators.bills import with_targets
+from ..operators import merge as mg
 from ..operators.merge import content_hash
+from ..session import reliable
 from .data_queries import _cite, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -370,6 +372,66 @@ def merge_replay_counts(spark, d):
     return r.groupBy("source", "snapshot_no", kind.alias("change_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """Current rows of each delivery as records for the merge; the digest stands for the text."""
+    s = table(spark, d, "corpus_snapshots").where("is_current").select(
+        "snapshot_no", F.lower(F.trim("source")).alias("source"), normalize_citation(F.col("citation")).alias("citation"),
+        F.coalesce("variant", F.lit("")).alias("variant"), F.coalesce(F.lower("content_hash"), F.lit("")).alias("text"),
+    ).distinct()
+    have = s.columns
+    rest = [F.lit(None).cast(kind).alias(c) for c, kind in (f.split() for f in mg.DOC_SCHEMA.split(", ")) if c not in have and c != "ordinal"]
+    return s.select("*", F.lit(0).cast("bigint").alias("ordinal"), *rest)
+
+
+def merge_replay(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[dict]]:
+    """All deliveries through the merge in turn, each a complete crawl of the sources in it, into an
+    empty store: the changes of all runs, the versions at the end, the runs' reports.
+
+    Documents, versions and changes are checkpointed after each run, so no plan holds an earlier
+    run's. There are as many runs as deliveries; only their numbers and sources are collected.
+    """
+    rows = reliable(deliveries(spark, d))
+    docs, versions = spark.createDataFrame([], mg.DOCUMENTS), spark.createDataFrame([], mg.VERSIONS)
+    runs = rows.groupBy("snapshot_no").agg(F.sort_array(F.collect_set("source")).alias("kinds")).orderBy("snapshot_no").collect()
+    changes, reports = spark.createDataFrame([], mg.CHANGES), []
+    for r in runs:
+        run = mg.Run(r.snapshot_no, str(r.snapshot_no), name="replay", kinds=list(r.kinds))
+        m = mg.merge(docs, versions, rows.where(F.col("snapshot_no") == r.snapshot_no).drop("snapshot_no"), run)
+        docs, versions = reliable(m.documents), reliable(m.versions)
+        changes = changes.unionByName(reliable(m.changes))
+        reports.append(m.report)
+    return changes, versions, reports
+
+
+_REPLAY = f"""WITH s AS {_SNAP}, n AS (SELECT source, snapshot_no, row_number() OVER (PARTITION BY source ORDER BY snapshot_no) AS k FROM (SELECT DISTINCT source, snapshot_no FROM s)),
+l AS (SELECT s.*, n.k, lag(h) OVER w AS ph, lag(k) OVER w AS pk, lead(k) OVER w AS nk FROM s JOIN n USING (source, snapshot_no) WINDOW w AS (PARTITION BY source, citation, variant ORDER BY k)),
+v AS (SELECT *, CAST(sum(CASE WHEN ph IS NULL OR ph <> h THEN 1 ELSE 0 END) OVER (PARTITION BY source, citation, variant ORDER BY k) AS INTEGER) AS version_no FROM l),
+c AS (SELECT CAST(snapshot_no AS BIGINT) AS run_id, source, citation, variant, version_no, CASE WHEN pk IS NULL THEN 'new' WHEN pk < k - 1 THEN 'restored' WHEN ph <> h THEN 'modified' END AS change_type FROM v
+      UNION ALL SELECT CAST(n.snapshot_no AS BIGINT), v.source, citation, variant, version_no, 'removed' FROM v JOIN n ON n.source = v.source AND n.k = v.k + 1 WHERE nk IS NULL OR nk > v.k + 1)"""
+
+
+@query(f"{_REPLAY} SELECT * FROM c WHERE change_type IS NOT NULL")
+def merge_changes(spark, d):
+    """What the merge reports for whole deliveries, removals included."""
+    return merge_replay(spark, d)[0].drop("at")
+
+
+@query(f"""{_REPLAY} SELECT source, citation, variant, version_no, CAST(min(snapshot_no) AS BIGINT) AS run_id, min(h) AS text, CAST(min(snapshot_no) AS VARCHAR) AS first_seen, CAST(max(snapshot_no) AS VARCHAR) AS last_seen,
+version_no = max(version_no) OVER (PARTITION BY source, citation, variant) AS is_current FROM v GROUP BY source, citation, variant, version_no""")
+def merge_versions(spark, d):
+    """All versions the merge holds after the last delivery."""
+    return merge_replay(spark, d)[1].select("source", "citation", "variant", "version_no", "run_id", "text", "first_seen", "last_seen", "is_current")
+
+
+@query(f"""{_REPLAY} SELECT r.run_id, docs_seen, {", ".join(f"coalesce(docs_{k}, 0) AS docs_{k}" for k in ("new", "modified", "removed", "restored"))}
+FROM (SELECT CAST(snapshot_no AS BIGINT) AS run_id, count(*) AS docs_seen FROM s GROUP BY 1) r LEFT JOIN
+(SELECT run_id, {", ".join(f"count(*) FILTER (WHERE change_type = '{k}') AS docs_{k}" for k in ("new", "modified", "removed", "restored"))} FROM c GROUP BY run_id) USING (run_id)""")
+def merge_run_report(spark, d):
+    """The merge's counters of each delivery."""
+    cols = ["run_id", "docs_seen", "docs_new", "docs_modified", "docs_removed", "docs_restored"]
+    return spark.createDataFrame([tuple(r[c] for c in cols) for r in merge_replay(spark, d)[2]], ", ".join(f"{c} bigint" for c in cols))
+
+
 # --- history, feed, manifest, bills ----------------------------------------------------------------
 
 

@@ -1,8 +1,9 @@
-"""Queries over whole tables: references of the texts themselves."""
+"""Queries over whole tables: the merge fed with deliveries, references of the texts themselves."""
 
 import re
 from pathlib import Path
 
+import duckdb
 import pytest
 
 import __spark_entry__ as e
@@ -11,6 +12,15 @@ SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not Path(SF).exists(), reason="needs the test tables")
 
 
+@needs_tables
+def test_merge_of_whole_deliveries_equals_its_sql(spark):
+    db = duckdb.connect()
+    db.sql(f"create view corpus_snapshots as select * from '{SF}/corpus_snapshots.parquet'")
+    want = db.sql(e.oracle_sql()["merge_changes"])
+    got = e.queries()["merge_changes"](spark, SF).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and "removed" in {r.change_type for r in got}
+
+
 TOKEN = re.compile(r"(?!0{1,3}[A-Za-z]?\.)([0-9]{1,3}[A-Za-z]?)\.([0-9]{1,5}[A-Za-z]{0,3})(?:\([^)]*\))*")
 GAP = re.compile(r"\s*,\s*(?:(?:and|or)\s+)?|\s*&\s*|\s*[-–—]\s*|\s+(?:and|or|to|through)\s+", re.I)
 
