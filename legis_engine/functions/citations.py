@@ -51,6 +51,11 @@ def mcl_key(token: Column) -> Column:
     )
 
 
+def mcr_key(token: Column) -> Column:
+    """Canonical key of a court rule: its letter is upper case, however it was written."""
+    return F.concat(F.lit("MCR "), F.upper(token))
+
+
 def const_key(article: Column, section: Column) -> Column:
     return F.when(
         F.lower(F.trim(article)) == "schedule", F.concat(F.lit("Const 1963, Schedule, § "), F.lower(section))
@@ -78,7 +83,7 @@ def citation_struct(text: Column) -> Column:
     )
     return (
         F.when(s.rlike(_MCL_INPUT), one("mcl", mcl_key(F.regexp_extract(s, _MCL_INPUT, 1))))
-        .when(s.rlike(_MCR_INPUT), one("mcr", F.concat(F.lit("MCR "), F.lower(F.regexp_extract(s, _MCR_INPUT, 1)))))
+        .when(s.rlike(_MCR_INPUT), one("mcr", mcr_key(F.regexp_extract(s, _MCR_INPUT, 1))))
         .when(s.rlike(_MRE_INPUT), one("mre", F.concat(F.lit("MRE "), F.regexp_extract(s, _MRE_INPUT, 1))))
         .when(s.rlike(_CONST_INPUT), one("const", const_key(article, F.regexp_extract(s, _CONST_INPUT, 3))))
     )

@@ -7,10 +7,12 @@ a second one takes a chain apart into (separator, token) pairs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .citations import MCL_LIVE, MCL_TOKEN, chapter_of, collapse, const_key, mcl_key
+from .citations import MCL_LIVE, MCL_TOKEN, chapter_of, collapse, const_key, mcl_key, mcr_key
 
 _SUBDIV = r"(?:\([^)]*\))*+"
 _GAP = r"(?>\s*,\s*(?:(?:and|or)\s+)?|\s*&\s*|\s*[-–—]\s*|\s+(?:and|or|to|through)\s+)"
@@ -68,8 +70,8 @@ def _pair_refs(text: Column, pattern: str, year: int, number: int) -> Column:
     return F.transform(_all(text, pattern, 0), lambda raw: _ref("public_act", key(raw), raw))
 
 
-def _simple_refs(text: Column, pattern: str, kind: str, prefix: str) -> Column:
-    return F.transform(_all(text, pattern, 0), lambda raw: _ref(kind, F.concat(F.lit(prefix), F.regexp_extract(raw, pattern, 1)), raw))
+def _rule_refs(text: Column, pattern: str, kind: str, key: Callable[[Column], Column]) -> Column:
+    return F.transform(_all(text, pattern, 0), lambda raw: _ref(kind, key(F.regexp_extract(raw, pattern, 1)), raw))
 
 
 def _const_refs(text: Column) -> Column:
@@ -89,7 +91,7 @@ def references_in(text: Column) -> Column:
     return F.concat(
         _chain_refs(section_chains(text)), _chain_refs(_all(t, _BEING_CHAIN, 1)),
         _pair_refs(t, _ACT_A, 1, 2), _pair_refs(t, _ACT_B, 2, 1),
-        _simple_refs(t, _MCR, "mcr", "MCR "), _simple_refs(t, _MRE, "mre", "MRE "), _const_refs(t),
+        _rule_refs(t, _MCR, "mcr", mcr_key), _rule_refs(t, _MRE, "mre", lambda n: F.concat(F.lit("MRE "), n)), _const_refs(t),
     ).cast(REF)
 
 

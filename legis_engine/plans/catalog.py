@@ -204,7 +204,7 @@ SELECT doc_id, kind, key, count(*) AS n FROM (
   SELECT DISTINCT doc_id, 'public_act', regexp_extract(r, '^([0-9]{4})', 1) || ' PA ' || CAST(CAST(regexp_extract(r, '([0-9]+)$', 1) AS INTEGER) AS VARCHAR), r
   FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[0-9]{4}\\s+PA\\s+[0-9]{1,4}\\b')) AS r FROM documents)
   UNION ALL
-  SELECT DISTINCT doc_id, 'mcr', regexp_replace(r, '\\s+', ' '), r FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\bMCR\\s+[0-9]{1,2}\\.[0-9]{1,3}[A-Za-z]?')) AS r FROM documents)
+  SELECT DISTINCT doc_id, 'mcr', upper(regexp_replace(r, '\\s+', ' ')), r FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\bMCR\\s+[0-9]{1,2}\\.[0-9]{1,3}[A-Za-z]?')) AS r FROM documents)
   UNION ALL
   SELECT DISTINCT doc_id, 'mre', regexp_replace(r, '\\s+', ' '), r FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\bMRE\\s+[0-9]{3,4}')) AS r FROM documents))
 GROUP BY doc_id, kind, key""")

@@ -51,7 +51,7 @@ _CITE = r"""
 CASE
   WHEN regexp_matches({c}, '^(MCL)?0*[1-9][0-9]*[A-Z]?\.[0-9]+[A-Z]*$')
     THEN 'MCL ' || regexp_extract({c}, '([0-9]+[A-Z]?)\.', 1) || '.' || lower(regexp_extract({c}, '\.([0-9]+[A-Z]*)$', 1))
-  WHEN regexp_matches({c}, '^MCR[0-9]+\.[0-9]+[A-Z]?$') THEN 'MCR ' || lower(substr({c}, 4))
+  WHEN regexp_matches({c}, '^MCR[0-9]+\.[0-9]+[A-Z]?$') THEN 'MCR ' || substr({c}, 4)
   WHEN regexp_matches({c}, '^MRE[0-9]+$') THEN 'MRE ' || substr({c}, 4)
   WHEN regexp_matches({c}, '^(CONST\.?1963|1963CONST\.?),?SCHEDULE,?§[0-9]+[A-Z]?$') THEN 'Const 1963, Schedule, § ' || lower(regexp_extract({c}, '§(.*)$', 1))
   WHEN regexp_matches({c}, '^(CONST\.?1963|1963CONST\.?),?ART(ICLE)?\.?([0-9]+|[IVX]+),?§[0-9]+[A-Z]?$')

@@ -20,7 +20,7 @@ def many(spark, column, values):
 
 CASES = {
     "mcl 750.520B(1)(a)": "MCL 750.520b", "750.83": "MCL 750.83", "MCL767a.1": "MCL 767A.1", "MCL 12a.345B et seq.": "MCL 12A.345b", "  MCL   1.1 ": "MCL 1.1",
-    "MCR 2.116(C)": "MCR 2.116", "mre 404": "MRE 404", "Const. 1963, Art. IV, § 5": "Const 1963, art 4, § 5", "1963 Const, art 12, § 3A": "Const 1963, art 12, § 3a",
+    "MCR 2.116(C)": "MCR 2.116", "MCR 2.116A": "MCR 2.116A", "mcr 2.116a": "MCR 2.116A", "Mcr  44.741c(B)(1)": "MCR 44.741C", "mre 404": "MRE 404", "Const. 1963, Art. IV, § 5": "Const 1963, art 4, § 5", "1963 Const, art 12, § 3A": "Const 1963, art 12, § 3a",
     "Const 1963, Schedule, § 2": "Const 1963, Schedule, § 2", "0.02": None, "MCL 000.5": None, "": None, "act 5": None, "MCL 1234.5": None, "MRE 12": None, None: None,
 }
 
@@ -55,6 +55,7 @@ def test_references(spark):
     assert refs(spark, "being section 750.1 of another code") == []
     assert refs(spark, "1931 PA 328; Act No. 5 of the Public Acts of 1999; MCR 2.116 and MRE 404; Const 1963, art IV, § 5") == [
         ("public_act", "1931 PA 328", False), ("public_act", "1999 PA 5", False), ("mcr", "MCR 2.116", False), ("mre", "MRE 404", False), ("const", "Const 1963, art 4, § 5", False)]
+    assert refs(spark, "under MCR 2.116A and MCR 2.116a") == [("mcr", "MCR 2.116A", False)] * 2
     assert refs(spark, None) == refs(spark, "") == []
 
 
