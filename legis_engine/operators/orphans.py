@@ -1,22 +1,27 @@
 """References to records that do not exist.
 
-The state is keyed by parent: each reference is probed against the parent index when it is
-found; an orphan waits until its parent arrives, and opens again when the parent is deleted.
-``classify`` gives every reference's outcome at the time it was found, ``open_spells`` the
-periods it was an orphan, ``snapshot_counts`` the open orphans at the end of each period.
-``OrphanState`` keeps the same state incrementally, batch by batch.
+``OrphanState`` is keyed by parent and moves batch by batch: new references probe the parent
+index, arriving parents resolve the orphans that wait for them, deletions open a parent's
+references again. Each batch appends its own part to the state and touches only the keys it has
+news of; nothing is rewritten. ``replay`` feeds a backlog through it period by period.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.citations import collapse, normalize_act, normalize_citation
 from ..functions.timestamps import iso_date
-from .skew import skew_left_join
+from ..session import materialize, shared_dir
+from .skew import hot_keys, skew_left_join
 
 DOCS, ACTS = "documents", "public_acts"
+KEY = ["to_table", "kind", "key"]
+ALWAYS = -(1 << 62)  # time of arrival of a parent that has none
 
 
 def kind_letters(c: Column) -> Column:
@@ -70,97 +75,175 @@ def references(xrefs: DataFrame) -> DataFrame:
     )
 
 
-def probe(refs: DataFrame, parents: DataFrame) -> DataFrame:
-    """References with ``born``, ``died`` and ``exists`` of their parent (null if there is none).
-
-    Popular keys are spread: their rows meet a broadcast of the few parents concerned.
-    """
-    return skew_left_join(refs, parents.withColumn("exists", F.lit(True)), ["to_table", "kind", "key"])
-
-
-def reason(found: Column) -> Column:
-    """Why a probed reference has no live parent at ``found``; null if it has one."""
-    return (
-        F.when(F.col("exists").isNull(), "missing")
-        .when(F.col("born") > found, "later")
-        .when(F.col("died") <= found, "deleted")
-    )
-
-
-def classify(probed: DataFrame) -> DataFrame:
-    """Orphans at the time they were found: ``xref_id, to_table, period, reason``."""
-    return probed.withColumn("reason", reason(F.col("found"))).where(F.col("reason").isNotNull()).select(
-        "xref_id", "to_table", month_of(F.col("found")).alias("period"), "reason"
-    )
-
-
-def open_spells(probed: DataFrame) -> DataFrame:
-    """``xref_id, to_table, opened, closed, reason``: each period a reference had no live parent.
+def parent_events(parents: DataFrame) -> DataFrame:
+    """``to_table, kind, key, t, dead``: the arrival and the removal of each row of the parent index.
 
-    A reference found before its parent closes with the arrival; one whose parent is deleted
-    opens (again) then. closed is null while open.
-    """
-    none = F.lit(None).cast("bigint")
-    one = lambda a, b, r: F.struct(a.alias("opened"), b.alias("closed"), F.lit(r).alias("reason"))
-    found, born, died = F.col("found"), F.col("born"), F.col("died")
-    waiting = F.when(F.col("exists").isNull(), one(found, none, "missing")).when(born > found, one(found, born, "later"))
-    reopened = F.when(died.isNotNull(), one(F.greatest(found, died), none, "deleted"))
-    spells = F.filter(F.array(waiting, reopened), lambda s: s.isNotNull())
-    return probed.select("xref_id", "to_table", F.inline(spells))
-
-
-def snapshot_counts(spells: DataFrame) -> DataFrame:
-    """``period, to_table, reason, open_orphans``: orphans open at the end of each month in which
-    their number moved. Each spell adds one at its opening and takes one at its closing; steps
-    are summed per month before they are accumulated, so the window sees months, not references.
+    A parent without a date of arrival was always there; one removed before it arrived is removed
+    at its arrival.
     """
-    steps = spells.select("to_table", "reason", F.col("opened").alias("t"), F.lit(1).alias("d")).unionAll(
-        spells.where("closed is not null").select("to_table", "reason", F.col("closed").alias("t"), F.lit(-1).alias("d"))
-    )
-    monthly = steps.groupBy("to_table", "reason", month_of(F.col("t")).alias("period")).agg(F.sum("d").alias("d"))
-    w = Window.partitionBy("to_table", "reason").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
-    return monthly.select("period", "to_table", "reason", F.sum("d").over(w).cast("bigint").alias("open_orphans"))
-
-
-def orphan_references(xrefs: DataFrame, documents: DataFrame, public_acts: DataFrame) -> DataFrame:
-    """Problem 4. Empty tables give no rows (without parents every reference is missing)."""
-    return classify(probe(references(xrefs), parent_index(documents, public_acts)))
+    born = F.coalesce("born", F.lit(ALWAYS))
+    one = lambda t, dead: F.struct(t.alias("t"), F.lit(dead).alias("dead"))
+    life = F.array(one(born, False), F.when(F.col("died").isNotNull(), one(F.greatest(born, F.col("died")), True)))
+    return parents.select(*KEY, F.explode(F.filter(life, lambda e: e.isNotNull())).alias("e")).select(*KEY, "e.t", "e.dead")
 
 
 class OrphanState:
-    """Pending-orphan state moved batch by batch; every frame is keyed by (to_table, kind, key).
-
-    ``parents`` is the index so far, ``refs`` all references seen with their state (open or
-    resolved). A batch brings new references, arriving parents and deletions. A parent that
-    arrives again after its deletion is live again; one deleted at its arrival is not.
+    """Pending-orphan state in a folder of the shared file system; every table is appended per batch.
+
+    ``life``: arrivals and deletions of parents. ``probe``: references with what they met when they
+    were found (status null, deleted, later or missing; the missing ones wait). ``seen``: how many
+    references of each parent a batch brought, which is all a deletion needs to open them again.
+    ``closed``: waiting references whose parent came. ``moves``: openings and closings per month.
+
+    The latest event of a parent decides whether it is there; at one instant a deletion counts after
+    an arrival, so a parent that arrives again after its deletion is there again. A parent known by
+    a deletion only was there before it. Events and references delivered again inside a batch count
+    once, events also across batches. Batches come in the order of time: an event older than what is
+    known of its parent is kept but changes nothing, and outcomes once reported stay as they are.
+    A batch that failed is repeated under its number and replaces its own output.
     """
 
-    def __init__(self, refs: DataFrame, parents: DataFrame):
-        self.refs, self.parents = refs, parents
+    TABLES = {
+        "life": "to_table string, kind string, key string, t bigint, dead boolean, batch int",
+        "probe": "xref_id bigint, to_table string, kind string, key string, found bigint, status string, arrived bigint, turns array<struct<t:bigint,dead:boolean>>",
+        "seen": "to_table string, kind string, key string, n bigint",
+        "closed": "xref_id bigint, to_table string, kind string, key string, found bigint, status string, arrived bigint",
+        "moves": "to_table string, reason string, period string, d bigint",
+    }
+
+    def __init__(self, spark: SparkSession, folder: str, batches: int = 0):
+        self.spark, self.folder, self.batches = spark, folder.rstrip("/"), batches
 
     @classmethod
-    def empty(cls, spark) -> OrphanState:
-        return cls(
-            spark.createDataFrame([], "xref_id bigint, to_table string, kind string, key string, found bigint, open boolean"),
-            spark.createDataFrame([], "to_table string, kind string, key string, born bigint, died bigint"),
+    def empty(cls, spark: SparkSession) -> OrphanState:
+        return cls(spark, f"{shared_dir(spark).rstrip('/')}/tables/orphans-{uuid.uuid4().hex}")
+
+    def table(self, name: str, upto: int | None = None) -> DataFrame:
+        n = self.batches if upto is None else upto
+        read = self.spark.read.schema(self.TABLES[name])
+        return read.parquet(*[f"{self.folder}/{name}/batch-{b:06d}" for b in range(n)]) if n else self.spark.createDataFrame([], self.TABLES[name])
+
+    def _put(self, name: str, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{name}/batch-{self.batches:06d}"
+        df.select(*[c.split()[0] for c in self.TABLES[name].split(", ")]).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(self.TABLES[name]).parquet(path)
+
+    def _parents(self, life: DataFrame) -> DataFrame:
+        """One row per parent: its events in order, the turns this batch brings, whether it is new.
+
+        A parent has as many events as it has lives, re-deliveries set aside. A turn is a change
+        between there and deleted; the first arrival is none, as nothing was open as deleted.
+        """
+        event, old = F.struct("t", "dead"), F.col("batch") < self.batches
+        per = life.groupBy(*KEY).agg(F.sort_array(F.collect_set(event)).alias("life"), F.max(F.when(old, event)).alias("_known"), F.min("batch").alias("_first"))
+        was_dead = lambda i, x: F.when(i > 0, F.get("life", i - 1)["dead"]).otherwise(F.when(x["dead"], False))
+        turn = lambda x, i: (F.col("_known").isNull() | (x > F.col("_known"))) & (was_dead(i, x) != x["dead"])
+        return per.select(*KEY, "life", F.filter("life", turn).alias("turns"), (F.col("_first") == self.batches).alias("new"))
+
+    def step(self, refs: DataFrame, events: DataFrame, hot: DataFrame | None = None) -> OrphanState:
+        """The state after a batch of references (xref_id, KEY, found) and parent events (KEY, t, dead).
+
+        ``hot`` names keys with a large share of all references, if they are known already.
+        """
+        b = self.batches
+        fresh = events.select(*KEY, "t", "dead").distinct().join(self.table("life"), [*KEY, "t", "dead"], "left_anti")
+        self._put("life", fresh.withColumn("batch", F.lit(b)))
+        parents = self._parents(self.table("life", b + 1))
+        found, met = F.col("found"), F.filter("life", lambda x: x["t"] <= F.col("found"))
+        first, last = F.get("life", F.lit(0)), F.try_element_at("_met", F.lit(-1))
+        probed = skew_left_join(refs.select("xref_id", *KEY, "found").distinct(), parents, KEY, hot=hot).withColumn("_met", met)
+        status = (
+            F.when(F.col("life").isNull(), "missing").when(found.isNull(), None)
+            .when(F.size("_met") == 0, F.when(~first["dead"], "later")).when(last["dead"], "deleted")
         )
-
-    def step(self, refs: DataFrame, arrivals: DataFrame, deletions: DataFrame) -> OrphanState:
-        keys = ["to_table", "kind", "key"]
-        none = F.lit(None).cast("bigint")
-        # A parent without a date of arrival was always there.
-        came, gone = arrivals.select(*keys, F.coalesce("born", F.lit(-(1 << 63))).alias("born"), none.alias("died")), deletions.select(*keys, none.alias("born"), "died")
-        # Latest arrival and latest deletion count, whatever order and batch they come in.
-        parents = self.parents.unionByName(came).unionByName(gone).groupBy(*keys).agg(F.max("born").alias("born"), F.max("died").alias("died"))
-        parents = parents.withColumn("died", F.when(F.col("born").isNull() | (F.col("died") >= F.col("born")), F.col("died")))
-        # Only keys with news or new references are probed; resolved ones wait untouched.
-        news = arrivals.select(*keys).union(deletions.select(*keys)).distinct().withColumn("_news", F.lit(True))
-        live = parents.where("born is not null and died is null").select(*keys, F.lit(True).alias("_live"))
-        old = self.refs.join(news, keys, "left").join(live, keys, "left").select(
-            "xref_id", *keys, "found", F.when(F.col("_news"), F.col("_live").isNull()).otherwise(F.col("open")).alias("open")
+        probed = probed.withColumns({"status": status, "turns": F.filter("turns", lambda x: x["t"] > F.col("found"))})
+        probe = self._put("probe", probed.withColumn("arrived", F.when(F.col("status") == "later", first["t"])))
+        self._put("seen", probe.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")))
+        # Who waited for a parent that is new in this batch.
+        waiting = self.table("probe", b).where("status = 'missing'").select("xref_id", *KEY, "found")
+        came = skew_left_join(waiting, parents.where("new"), KEY, hot=hot).where("life is not null")
+        late = ~first["dead"] & (first["t"] > found)
+        closed = self._put("closed", came.select("xref_id", *KEY, "found", F.when(late, "later").alias("status"), F.when(late, first["t"]).alias("arrived")))
+        # Openings and closings; of references found earlier their number is enough.
+        move = lambda reason, t, d: F.struct(F.lit(reason).alias("reason"), t.alias("t"), d.cast("bigint").alias("d"))
+        turned = F.transform("turns", lambda x: move("deleted", x["t"], F.when(x["dead"], 1).otherwise(-1)))
+        waited = F.when(F.col("status") == "later", F.array(move("later", found, F.lit(1)), move("later", F.col("arrived"), F.lit(-1))))
+        opened = F.when(F.col("status") == "deleted", F.array(move("deleted", found, F.lit(1))))
+        none = F.array().cast("array<struct<reason:string,t:bigint,d:bigint>>")
+        earlier = self.table("seen", b).groupBy(*KEY).agg(F.sum("n").alias("n"))
+        again = parents.where(F.size("turns") > 0).join(earlier, KEY).select("to_table", "n", F.inline(turned))
+        steps = (
+            probe.select("to_table", F.inline(F.concat(F.coalesce(waited, opened, none), turned)))
+            .unionByName(closed.where("status is not null").select("to_table", F.inline(waited)))
+            .unionByName(again.select("to_table", "reason", "t", (F.col("n") * F.col("d")).alias("d")))
         )
-        new = refs.select("xref_id", *keys, "found").join(live, keys, "left").select("xref_id", *keys, "found", F.col("_live").isNull().alias("open"))
-        return OrphanState(old.unionByName(new), parents)
-
-    def open_counts(self) -> DataFrame:
-        return self.refs.where("open").groupBy("to_table").agg(F.count(F.lit(1)).alias("open_orphans"))
+        self._put("moves", steps.groupBy("to_table", "reason", month_of(F.col("t")).alias("period")).agg(F.sum("d").alias("d")))
+        return OrphanState(self.spark, self.folder, b + 1)
+
+    def _missing(self) -> DataFrame:
+        """References that still wait."""
+        a, b = self.table("probe").where("status = 'missing'").alias("a"), self.table("closed").alias("b")
+        same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("xref_id", *KEY, "found")])
+        return a.join(b, same, "left_anti")
+
+    def orphans(self) -> DataFrame:
+        """``xref_id, to_table, period, reason`` of every reference that was an orphan when it was found."""
+        kept = ["xref_id", "to_table", "found", F.col("status").alias("reason")]
+        settled = self.table("probe").where(F.col("status").isin("deleted", "later")).select(*kept).unionByName(self.table("closed").where("status is not null").select(*kept))
+        every = settled.unionByName(self._missing().select(*kept))
+        return every.select("xref_id", "to_table", month_of(F.col("found")).alias("period"), "reason")
+
+    def snapshot_counts(self) -> DataFrame:
+        """``period, to_table, reason, open_orphans``: orphans open at the end of each month from the
+        first to the last in which any number moved, months without a move included.
+
+        Waiting orphans count as later once their parent has come and as missing while it has not.
+        """
+        still = self._missing().groupBy("to_table", F.lit("missing").alias("reason"), month_of(F.col("found")).alias("period")).agg(F.count(F.lit(1)).alias("d"))
+        monthly = self.table("moves").unionByName(still).groupBy("to_table", "reason", "period").agg(F.sum("d").alias("d"))
+        # From here on there are as many rows as months, tables and reasons.
+        day = F.to_date(F.concat("period", F.lit("-01")))
+        first = monthly.agg(F.min(day).alias("a"), F.max(day).alias("b"))
+        months = first.select(F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("_m")).select(F.date_format("_m", "yyyy-MM").alias("period"))
+        grid = months.join(F.broadcast(monthly.select("to_table", "reason").distinct()), F.lit(True))
+        dated = grid.join(monthly, ["to_table", "reason", "period"], "left").unionByName(monthly.where("period is null").select("to_table", "reason", "period", "d"))
+        w = Window.partitionBy("to_table", "reason").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
+        return dated.select("period", "to_table", "reason", F.coalesce(F.sum("d").over(w), F.lit(0)).cast("bigint").alias("open_orphans"))
+
+    def references(self) -> DataFrame:
+        """``xref_id, found, open`` of all references, as things stand after the last batch."""
+        now = self._parents(self.table("life")).select(*KEY, F.element_at("life", -1)["dead"].alias("_dead"))
+        return skew_left_join(self.table("probe"), now, KEY).select("xref_id", "to_table", "found", F.coalesce("_dead", F.lit(True)).alias("open"))
+
+
+def replay(refs: DataFrame, events: DataFrame, months: int = 12) -> OrphanState:
+    """A backlog through the state in batches of ``months`` calendar months.
+
+    The result does not depend on ``months``. References without a time come last. References are
+    laid out by batch once, so each step reads its own; only the numbers of the batches and at most
+    a hundred hot keys are looked at outside.
+    """
+    spark = refs.sparkSession
+    ordinal = lambda t: F.floor((F.substring(iso_date(t), 1, 4).cast("int") * 12 + F.substring(iso_date(t), 6, 2).cast("int") - 1) / months).cast("int")
+    last, first = F.lit(1 << 30), F.lit(-1)
+    state = OrphanState.empty(spark)
+    at = f"{state.folder}/backlog"
+    placed = refs.withColumn("batch", F.coalesce(ordinal(F.col("found")), last))
+    placed.write.partitionBy("batch").parquet(at)
+    laid = spark.read.schema(placed.schema).parquet(at)
+    dated = materialize(events.withColumn("batch", F.when(F.col("t") == ALWAYS, first).otherwise(ordinal(F.col("t")))), "parent_events")
+    numbers = sorted(r.batch for r in laid.select("batch").union(dated.select("batch")).distinct().collect())
+    hot = materialize(hot_keys(laid, KEY), "hot_keys")
+    for n in numbers:
+        state = state.step(laid.where(F.col("batch") == n).drop("batch"), dated.where(F.col("batch") == n).drop("batch"), hot)
+    return state
+
+
+def orphan_state(xrefs: DataFrame, documents: DataFrame, public_acts: DataFrame, months: int = 12) -> OrphanState:
+    return replay(references(xrefs), parent_events(parent_index(documents, public_acts)), months)
+
+
+def orphan_references(xrefs: DataFrame, documents: DataFrame, public_acts: DataFrame, months: int = 12) -> DataFrame:
+    """Problem 4, from the incremental state. Empty tables give no rows (without parents every
+    reference is missing)."""
+    return orphan_state(xrefs, documents, public_acts, months).orphans()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.ledger import taken_in
-from ..operators.orphans import open_spells, orphan_references, parent_index, probe, references, snapshot_counts
+from ..operators.orphans import orphan_references, orphan_state
 from ..operators.satellites import document_history
 from ..operators.snapshots import corpus_changes
 from ..operators.timestamps import normalise_times
@@ -34,8 +34,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_counts(spark: SparkSession, d: str) -> DataFrame:
-    probed = probe(references(table(spark, d, "xrefs")), parent_index(table(spark, d, "documents"), table(spark, d, "public_acts")))
-    return snapshot_counts(open_spells(probed))
+    return orphan_state(table(spark, d, "xrefs"), table(spark, d, "documents"), table(spark, d, "public_acts")).snapshot_counts()
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -113,8 +112,10 @@ s AS (
   UNION ALL SELECT to_table, 'later', substr(found, 1, 7), 1 FROM j WHERE born > found
   UNION ALL SELECT to_table, 'later', substr(born, 1, 7), -1 FROM j WHERE born > found
   UNION ALL SELECT to_table, 'deleted', substr(greatest(found, died), 1, 7), 1 FROM j WHERE died IS NOT NULL),
+g AS (SELECT strftime(m, '%Y-%m') AS period, to_table, reason FROM (SELECT DISTINCT to_table, reason FROM s),
+      (SELECT unnest(generate_series(CAST(min(period) || '-01' AS TIMESTAMP), CAST(max(period) || '-01' AS TIMESTAMP), INTERVAL 1 MONTH)) AS m FROM s)),
 m AS (SELECT to_table, reason, period, sum(d) AS d FROM s GROUP BY to_table, reason, period)
-SELECT period, to_table, reason, CAST(sum(d) OVER (PARTITION BY to_table, reason ORDER BY period) AS BIGINT) AS open_orphans FROM m"""
+SELECT period, to_table, reason, CAST(coalesce(sum(d) OVER (PARTITION BY to_table, reason ORDER BY period), 0) AS BIGINT) AS open_orphans FROM g LEFT JOIN m USING (to_table, reason, period)"""
 
 _P5 = """
 WITH o AS (
