@@ -6,19 +6,18 @@ expire and the item is pending again. Each lease carries a fencing token that ri
 runs of a source; a write whose token is not the item's current one is stale and rejected. A
 run's output path is a function of source and token, so a retry replaces its own output.
 
-``replay`` derives the whole ledger from a run log and its listings in one set-based pass.
-``WorkLedger`` keeps the same ledger in a folder and moves it one run at a time.
+``ledger`` and ``replay`` take a run log and its listings through these moves, item by item, in one
+pass. ``WorkLedger`` keeps the same ledger on shared storage and moves it one run at a time.
 """
 
 from __future__ import annotations
 
-import json
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..commits import CommitLog
 from ..functions.timestamps import by_convention, with_time_candidates
 
 PENDING, LEASED, DONE = "pending", "leased", "done"
@@ -59,34 +58,74 @@ def run_outcomes(runs: DataFrame) -> DataFrame:
     return per.withColumn("token", F.row_number().over(w))
 
 
-def replay(listings: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """The ledger after each run: one row per item and run that listed it.
+_LISTING = "struct<sha:string,size:bigint,modified_at:bigint>"
+_WORK = "struct<run_id:bigint,token:int,state:string,work:boolean,attempt:int,closed:boolean>"
+_ITEM = f"struct<state:string,token:int,leased:{_LISTING},done:{_LISTING},attempts:int,log:array<{_WORK}>>"
+
+
+def transitions(events: Column) -> Column:
+    """An item's ledger, folded over what its runs did: ``struct(state, token, leased, done, attempts, log)``.
 
-    Columns: run_id, source, name, token, state, work (whether the run had to process the item),
-    attempt (leases since the item was last done), path (of the output, null without work).
+    ``events``: its listings in the order of their tokens, ``struct(token, run_id, ok, listing)``. Each
+    goes through the ledger's moves in turn:
 
-    A run leases the items whose listing differs from the one last done. If it succeeds they are
-    done; otherwise the lease expires before the next run and they are pending. Per item there is
-    at most one row per run, which bounds every window group by the number of runs of a source.
-    Listings of unknown runs are never leased and left out.
+    * expire: an item still leased by an earlier token is pending again, as that run ended without
+      completing it;
+    * lease: the listing is compared with the one last done; a new or changed item is leased under
+      the run's token, an unchanged one stays done;
+    * complete: a run that ended well completes what it holds, and only what it holds: its token must
+      be the item's. Then the leased listing is the one done and the attempts start over.
+
+    ``log`` has one entry per event: state after it, whether the run leased the item, the attempt, and
+    whether the completion was accepted.
+    """
+    none = F.lit(None).cast(_LISTING)
+    item = lambda state, token, leased, done, attempts, log: F.struct(
+        state.alias("state"), token.alias("token"), leased.alias("leased"), done.alias("done"), attempts.alias("attempts"), log.alias("log")
+    ).cast(_ITEM)
+    start = item(F.lit(PENDING), F.lit(0), none, none, F.lit(0), F.array())
+
+    def move(it: Column, e: Column) -> Column:
+        # Tokens rise: whatever is still leased here belongs to an earlier run, and has expired.
+        state = F.when((it["state"] == LEASED) & (it["token"] < e["token"]), PENDING).otherwise(it["state"])
+        take = (state != LEASED) & (it["done"].isNull() | differs(e["listing"], it["done"]))
+        held = F.when(take, e["token"]).otherwise(it["token"])
+        leased = F.when(take, LEASED).otherwise(DONE)
+        attempt = it["attempts"] + take.cast("int")
+        accepted = e["ok"] & (leased == LEASED) & (held == e["token"])
+        after = F.when(accepted, DONE).otherwise(leased)
+        entry = F.struct(e["run_id"].alias("run_id"), e["token"].alias("token"), after.alias("state"), take.alias("work"), attempt.alias("attempt"), accepted.alias("closed"))
+        # A good run also confirms what it found unchanged: later listings compare with that one.
+        return item(
+            after, held, F.when(take, e["listing"]).otherwise(it["leased"]), F.when(e["ok"], e["listing"]).otherwise(it["done"]),
+            F.when(e["ok"], 0).otherwise(attempt), F.concat(it["log"], F.array(entry)),
+        )
+
+    return F.aggregate(events, start, move)
+
+
+def ledger(listings: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """``source, name, item``: every item with its ledger after the last run (see ``transitions``).
+
+    Per item there is at most one listing per run, so the array of an item is bounded by the number
+    of runs of its source. Listings of unknown runs are never leased and left out.
     """
     joined = listings.join(outcomes.select("source", "run_id", "token", "ok"), ["source", "run_id"])
-    w = Window.partitionBy("source", "name").orderBy("token")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    done = F.last(F.when(F.col("ok"), F.col("listing")), ignorenulls=True).over(before)
-    seen = joined.withColumn("_done", done)
-    worked = seen.withColumn("work", F.col("_done").isNull() | differs(F.col("listing"), F.col("_done")))
-    # Leases since the last done state: reset after each successful run.
-    epoch = F.coalesce(F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(before), F.lit(0))
-    counted = worked.withColumn("_epoch", epoch)
-    we = Window.partitionBy("source", "name", "_epoch").orderBy("token").rowsBetween(Window.unboundedPreceding, 0)
-    attempt = F.sum(F.when(F.col("work"), 1).otherwise(0)).over(we).cast("int")
-    return counted.select(
-        "run_id", "source", "name", "token",
-        F.when(F.col("ok") | ~F.col("work"), DONE).otherwise(PENDING).alias("state"),
-        "work", attempt.alias("attempt"),
+    events = F.sort_array(F.collect_list(F.struct("token", "run_id", "ok", "listing")))
+    return joined.groupBy("source", "name").agg(events.alias("events")).select("source", "name", transitions(F.col("events")).alias("item"))
+
+
+def replay(listings: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The ledger's log: one row per item and run that listed it.
+
+    Columns: run_id, source, name, token, state after the run (``leased`` where it ended without
+    completing the item: the lease expires before the next run), work (whether the run had to process
+    the item), attempt, closed (whether its completion was accepted), path (of its output).
+    """
+    log = ledger(listings, outcomes).select("source", "name", F.inline("item.log"))
+    return log.select(
+        "run_id", "source", "name", "token", "state", "work", "attempt", "closed",
         F.when(F.col("work"), output_path(F.col("source"), F.col("token"))).alias("path"),
-        "ok",
     )
 
 
@@ -96,9 +135,8 @@ def output_path(source: Column, token: Column) -> Column:
 
 
 def taken_in(source_files: DataFrame, runs: DataFrame) -> DataFrame:
-    """Problem 3: ``run_id, source, name`` of the items each successful run had to process."""
-    ledger = replay(listings_of(source_files), run_outcomes(runs))
-    return ledger.where(F.col("ok") & F.col("work")).select("run_id", "source", "name")
+    """Problem 3: ``run_id, source, name`` of the items each run leased and completed."""
+    return replay(listings_of(source_files), run_outcomes(runs)).where("closed").select("run_id", "source", "name")
 
 
 class StaleWriter(RuntimeError):
@@ -106,83 +144,94 @@ class StaleWriter(RuntimeError):
 
 
 class WorkLedger:
-    """The ledger in a folder: numbered immutable states, one pointer file naming the current.
+    """The ledger on shared storage. Items are kept per source; a step writes the items of its own
+    source anew, as a listing names them all anyway, and leaves the others alone.
 
-    Each step writes a new state and then renames the pointer, so a crash leaves the old state;
-    a repeated step with the same token gives the same state.
+    What is current is said by numbered commits (``CommitLog``): of two writers that read the same
+    commit one is refused and starts over from the new one, so no two leases get one token and no
+    step is lost. A crash before the commit leaves the old state.
     """
 
-    SCHEMA = (
-        "source string, name string, state string, token bigint, lease_until double, "
-        "listing struct<sha:string,size:bigint,modified_at:bigint>, done struct<sha:string,size:bigint,modified_at:bigint>, attempts int"
-    )
+    SCHEMA = f"name string, state string, token bigint, lease_until double, listing {_LISTING}, done {_LISTING}, attempts int"
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        os.makedirs(folder, exist_ok=True)
-
-    def _pointer(self) -> dict:
-        try:
-            with open(os.path.join(self.folder, "_current.json")) as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {"state": None, "tokens": {}, "closed": {}}
-
-    def items(self) -> DataFrame:
-        at = self._pointer()["state"]
-        if at is None:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(os.path.join(self.folder, at))
-
-    def _commit(self, items: DataFrame, pointer: dict) -> None:
-        name = f"state-{uuid.uuid4().hex}"
-        items.select("source", "name", "state", "token", "lease_until", "listing", "done", "attempts").write.parquet(os.path.join(self.folder, name))
-        new = os.path.join(self.folder, f"_next-{uuid.uuid4().hex}.json")
-        with open(new, "w") as f:
-            json.dump(pointer | {"state": name}, f)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(new, os.path.join(self.folder, "_current.json"))
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.log = CommitLog(spark, folder)
+
+    def _current(self) -> tuple[int, dict]:
+        n, p = self.log.latest()
+        return n, p or {"items": {}, "tokens": {}}
+
+    def _items(self, p: dict, source: str) -> DataFrame:
+        at = p["items"].get(source)
+        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.folder}/{at}") if at else self.spark.createDataFrame([], self.SCHEMA)
+
+    def items(self, source: str) -> DataFrame:
+        return self._items(self._current()[1], source)
+
+    def _step(self, source: str, change) -> dict:
+        """Applies ``change(items, pointer) -> (items, pointer)`` until its commit is accepted."""
+        while True:
+            n, p = self._current()
+            got = change(self._items(p, source), p)
+            if got is None:
+                return p
+            items, p = got
+            name = f"items-{uuid.uuid4().hex}"
+            items.select(*[c.split()[0] for c in self.SCHEMA.split(", ")]).write.parquet(f"{self.folder}/{name}")
+            p = p | {"items": p["items"] | {source: name}}
+            if self.log.add(n + 1, p):
+                return p
 
     def lease(self, source: str, listing: DataFrame, now: float, ttl: float) -> int:
         """Takes a listing (name, listing) in: expired leases become pending, new and changed
         items are leased. Returns the fencing token; the leased items are ``work(source, token)``."""
-        p = self._pointer()
-        token = p["tokens"].get(source, 0) + 1
-        old = self.items()
-        mine = listing.select(F.col("name").alias("_n"), F.col("listing").alias("_l"))
-        own = old.where(F.col("source") == source).join(mine, F.col("name") == F.col("_n"), "full_outer")
-        free = F.coalesce((F.col("state") != LEASED) | (F.col("lease_until") <= now), F.lit(True))
-        changed = F.col("_l").isNotNull() & (F.col("done").isNull() | differs(F.col("_l"), F.col("done")))
-        take = free & changed
-        back = F.when((F.col("state") == LEASED) & (F.col("lease_until") <= now), PENDING).otherwise(F.coalesce("state", F.lit(PENDING)))
-        settled = free & F.col("_l").isNotNull() & ~changed
-        new = own.select(
-            F.lit(source).alias("source"), F.coalesce("name", "_n").alias("name"),
-            F.when(take, LEASED).when(settled, DONE).otherwise(back).alias("state"),
-            F.when(take, token).otherwise(F.col("token")).cast("bigint").alias("token"),
-            F.when(take, now + ttl).otherwise(F.col("lease_until")).alias("lease_until"),
-            F.when(take, F.col("_l")).otherwise(F.col("listing")).alias("listing"), "done",
-            F.when(take, F.coalesce("attempts", F.lit(0)) + 1).otherwise(F.coalesce("attempts", F.lit(0))).cast("int").alias("attempts"),
-        )
-        self._commit(new.unionByName(old.where(F.col("source") != source)), p | {"tokens": p["tokens"] | {source: token}})
-        return token
+
+        def change(old: DataFrame, p: dict) -> tuple[DataFrame, dict]:
+            token = p["tokens"].get(source, 0) + 1
+            mine = listing.select(F.col("name").alias("_n"), F.col("listing").alias("_l"))
+            own = old.join(mine, F.col("name") == F.col("_n"), "full_outer")
+            free = F.coalesce((F.col("state") != LEASED) | (F.col("lease_until") <= now), F.lit(True))
+            changed = F.col("_l").isNotNull() & (F.col("done").isNull() | differs(F.col("_l"), F.col("done")))
+            take = free & changed
+            back = F.when((F.col("state") == LEASED) & (F.col("lease_until") <= now), PENDING).otherwise(F.coalesce("state", F.lit(PENDING)))
+            settled = free & F.col("_l").isNotNull() & ~changed
+            new = own.select(
+                F.coalesce("name", "_n").alias("name"),
+                F.when(take, LEASED).when(settled, DONE).otherwise(back).alias("state"),
+                F.when(take, token).otherwise(F.col("token")).cast("bigint").alias("token"),
+                F.when(take, now + ttl).otherwise(F.col("lease_until")).cast("double").alias("lease_until"),
+                F.when(take, F.col("_l")).otherwise(F.col("listing")).alias("listing"), "done",
+                (F.coalesce("attempts", F.lit(0)) + take.cast("int")).alias("attempts"),
+            )
+            return new, p | {"tokens": p["tokens"] | {source: token}}
+
+        return self._step(source, change)["tokens"][source]
 
     def work(self, source: str, token: int) -> DataFrame:
-        return self.items().where((F.col("source") == source) & (F.col("token") == token) & (F.col("state") == LEASED))
+        return self.items(source).where((F.col("token") == token) & (F.col("state") == LEASED))
 
     def complete(self, source: str, token: int, now: float) -> None:
-        """Items leased under ``token`` are done. Stale or expired writers are rejected; repeating
-        a completed call changes nothing."""
-        p = self._pointer()
-        if p["closed"].get(source) == token:
-            return
-        if p["tokens"].get(source) != token or self.work(source, token).where(F.col("lease_until") <= now).limit(1).count():
-            raise StaleWriter(f"{source}: token {token} is not current")
-        mine = (F.col("source") == source) & (F.col("token") == token) & (F.col("state") == LEASED)
-        new = self.items().withColumns({
-            "done": F.when(mine, F.col("listing")).otherwise(F.col("done")),
-            "attempts": F.when(mine, 0).otherwise(F.col("attempts")),
-            "state": F.when(mine, DONE).otherwise(F.col("state")),
-        })
-        self._commit(new, p | {"closed": p["closed"] | {source: token}})
+        """The items still leased under ``token`` are done, whatever tokens were given out since.
+
+        A writer none of whose items carries its token any more is stale and rejected, as is one
+        whose leases have run out; repeating a completed call changes nothing.
+        """
+
+        def change(old: DataFrame, p: dict) -> tuple[DataFrame, dict] | None:
+            held = (F.col("token") == token) & (F.col("state") == LEASED)
+            n = old.agg(
+                F.coalesce(F.sum(held.cast("int")), F.lit(0)).alias("held"), F.coalesce(F.sum((held & (F.col("lease_until") <= now)).cast("int")), F.lit(0)).alias("late"),
+                F.coalesce(F.sum(((F.col("token") == token) & (F.col("state") == DONE)).cast("int")), F.lit(0)).alias("done"),
+            ).first()
+            if n.late or not (n.held or n.done or p["tokens"].get(source) == token):
+                raise StaleWriter(f"{source}: token {token} holds nothing any more")
+            if not n.held:
+                return None
+            return old.withColumns({
+                "done": F.when(held, F.col("listing")).otherwise(F.col("done")),
+                "attempts": F.when(held, 0).otherwise(F.col("attempts")),
+                "state": F.when(held, DONE).otherwise(F.col("state")),
+            }), p
+
+        self._step(source, change)

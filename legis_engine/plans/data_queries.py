@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.ledger import taken_in
+from ..operators.ledger import ledger, listings_of, run_outcomes, taken_in
 from ..operators.orphans import orphan_references, orphan_state
 from ..operators.satellites import document_history
 from ..operators.snapshots import corpus_changes
@@ -29,6 +29,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return taken_in(table(spark, d, "source_files"), table(spark, d, "runs"))
 
 
+def p3_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """Every item as the ledger holds it after the last run."""
+    items = ledger(listings_of(table(spark, d, "source_files")), run_outcomes(table(spark, d, "runs")))
+    return items.select("source", "name", "item.state", "item.token", "item.attempts")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return orphan_references(table(spark, d, "xrefs"), table(spark, d, "documents"), table(spark, d, "public_acts"))
 
@@ -42,7 +48,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found,
+    "p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_ledger": p3_ledger, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found,
 }
 
 # Canonical citation in the oracle's own words: strip everything that cannot matter, then rebuild.
@@ -197,4 +203,18 @@ p AS (SELECT *, lag(size) OVER w AS psize, lag(sha) OVER w AS psha, lag(utc) OVE
 SELECT run_id, source, name FROM p
 WHERE n = 1 OR CASE WHEN sha IS NOT NULL AND psha IS NOT NULL THEN sha <> psha ELSE size IS DISTINCT FROM psize OR utc IS DISTINCT FROM putc END"""
 
-ORACLES = {"p1_found": _P1, "p2_found": _P2, "p3_found": _P3, "p4_found": _P4, "p4_counts": _P4_COUNTS, "p5_found": _P5}
+_P3_LEDGER = f"""
+WITH r AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY began, run_id) AS INTEGER) AS token FROM (
+  SELECT source, run_id, min(started_at) AS began, max(CASE WHEN lower(trim(status)) = 'ok' THEN 1 ELSE 0 END) = 1 AS ok FROM runs GROUP BY source, run_id)),
+l AS (SELECT DISTINCT run_id, source, name, size, lower(nullif(trim(sha256), '')) AS sha, modified, listing_zone FROM source_files),
+t AS ({_times("SELECT DISTINCT modified AS key, listing_zone, modified AS value, listing_zone AS zone FROM source_files WHERE modified IS NOT NULL", "key, listing_zone")}),
+m AS (SELECT l.source, l.name, r.token, r.ok, {{'size': l.size, 'sha': l.sha, 'utc': t.utc}} AS x FROM l JOIN r USING (source, run_id)
+      LEFT JOIN t ON t.key = l.modified AND t.listing_zone IS NOT DISTINCT FROM l.listing_zone),
+p AS (SELECT *, last_value(CASE WHEN ok THEN x END IGNORE NULLS) OVER w AS d, coalesce(sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER w, 0) AS good
+      FROM m WINDOW w AS (PARTITION BY source, name ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k AS (SELECT *, d IS NULL OR CASE WHEN x.sha IS NOT NULL AND d.sha IS NOT NULL THEN x.sha <> d.sha ELSE x.size IS DISTINCT FROM d.size OR x.utc IS DISTINCT FROM d.utc END AS work FROM p),
+a AS (SELECT *, sum(CASE WHEN work THEN 1 ELSE 0 END) OVER (PARTITION BY source, name, good) AS tries, row_number() OVER (PARTITION BY source, name ORDER BY token DESC) AS n,
+             coalesce(max(CASE WHEN work THEN token END) OVER (PARTITION BY source, name), 0) AS held FROM k)
+SELECT source, name, CASE WHEN work AND NOT ok THEN 'leased' ELSE 'done' END AS state, CAST(held AS INTEGER) AS token, CAST(CASE WHEN ok THEN 0 ELSE tries END AS INTEGER) AS attempts FROM a WHERE n = 1"""
+
+ORACLES = {"p3_ledger": _P3_LEDGER, "p1_found": _P1, "p2_found": _P2, "p3_found": _P3, "p4_found": _P4, "p4_counts": _P4_COUNTS, "p5_found": _P5}

@@ -6,9 +6,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from legis_engine.commits import CommitLog
 from legis_engine.functions.timestamps import by_convention, iso_date, iso_instant, with_date_candidates, with_time_candidates
 from legis_engine.operators import viterbi
-from legis_engine.operators.ledger import StaleWriter, WorkLedger, listings_of, replay, run_outcomes, taken_in
+from legis_engine.operators.ledger import StaleWriter, WorkLedger, listings_of, replay, run_outcomes, taken_in, transitions
 from legis_engine.operators.orphans import OrphanState, orphan_references, orphan_state, parent_events, parent_index, references
 from legis_engine.operators.satellites import build_satellite, document_history, mark_hot
 from legis_engine.operators.snapshots import corpus_changes
@@ -190,8 +191,21 @@ def test_problem_3(spark):
     assert got == brute_taken(once, runs)
     assert taken_in(spark.createDataFrame([], FILES), spark.createDataFrame([], RUNS)).count() == 0
     led = replay(listings_of(spark.createDataFrame(once, FILES)), run_outcomes(spark.createDataFrame(runs, RUNS)))
-    assert {r.state for r in led.where("not ok and work").collect()} <= {"pending"}
-    assert led.where("work and path is null").count() == 0
+    assert {r.state for r in led.where("work and not closed").collect()} == {"leased"}
+    assert led.where("work and path is null").count() == 0 and led.where("closed and not work").count() == 0
+    assert led.where("attempt > 1").count() > 0  # leased again after a failed run
+
+
+def test_ledger_moves_of_one_item(spark):
+    """Leased, expired, leased again, done; unchanged; changed in a failed run only; digests that come and go."""
+    at = lambda sha, size=1: (sha, size, 0)
+    events = [(1, 10, False, at("x")), (2, 11, True, at("x")), (3, 12, True, at("x")), (4, 13, False, at("y")), (5, 14, True, at("x")), (6, 15, True, at(None)), (7, 16, True, at("z"))]
+    df = spark.createDataFrame([(events,)], "e array<struct<token:int,run_id:bigint,ok:boolean,listing:struct<sha:string,size:bigint,modified_at:bigint>>>")
+    item = df.select(transitions(F.col("e")).alias("i")).first().i
+    assert [(r.run_id, r.state, r.work, r.attempt, r.closed) for r in item.log] == [
+        (10, "leased", True, 1, False), (11, "done", True, 2, True), (12, "done", False, 0, False), (13, "leased", True, 1, False),
+        (14, "done", False, 1, False), (15, "done", False, 0, False), (16, "done", False, 0, False)]
+    assert (item.state, item.token, item.attempts, item.done.sha) == ("done", 4, 0, "z")
 
 
 def listing(spark, files):
@@ -204,18 +218,41 @@ def test_durable_ledger(spark, tmp_path):
     t1 = led.lease("mcl", listing(spark, {"a": "1", "b": "1"}), now=0, ttl=10)
     assert names(t1) == ["a", "b"]
     t2 = led.lease("mcl", listing(spark, {"a": "1", "b": "1", "c": "1"}), now=5, ttl=10)
-    assert names(t2) == ["c"]  # the others are still leased
-    with pytest.raises(StaleWriter):
-        led.complete("mcl", t1, now=6)
+    assert names(t2) == ["c"]  # the others are still leased, and stay with their holder
+    led.complete("mcl", t1, now=6)
     led.complete("mcl", t2, now=6)
     t3 = led.lease("mcl", listing(spark, {"a": "1", "b": "2", "c": "1"}), now=20, ttl=10)
-    assert names(t3) == ["a", "b"]  # expired leases came back, c is done
+    assert names(t3) == ["b"]
     led.complete("mcl", t3, now=21)
     led.complete("mcl", t3, now=22)  # a retry changes nothing
     t4 = led.lease("mcl", listing(spark, {"a": "1", "b": "3", "c": "1"}), now=30, ttl=1)
     assert names(t4) == ["b"]
     with pytest.raises(StaleWriter):
         led.complete("mcl", t4, now=31)
+    t5 = led.lease("mcl", listing(spark, {"a": "1", "b": "3", "c": "1"}), now=32, ttl=10)
+    assert names(t5) == ["b"] and led.items("mcl").where("name = 'b'").first().attempts == 2
+    with pytest.raises(StaleWriter):
+        led.complete("mcl", t4, now=33)  # its item carries a newer token
+    led.complete("mcl", t5, now=33)
+    assert led.lease("mre", listing(spark, {"a": "1"}), now=34, ttl=10) == 1 and names(t5) == []
+
+
+def test_commits_are_compared_and_swapped(spark, tmp_path):
+    a, b = CommitLog(spark, str(tmp_path)), CommitLog(spark, str(tmp_path))
+    assert a.latest() == (0, None)
+    assert a.add(1, {"x": 1}) and not b.add(1, {"x": 2}) and b.latest() == (1, {"x": 1})
+    led = WorkLedger(spark, str(tmp_path / "led"))
+    rival, once = led.log.add, []
+
+    def add(n, p):  # somebody commits between our read and our commit
+        if not once:
+            once.append(n)
+            WorkLedger(spark, led.folder).lease("mcl", listing(spark, {"z": "1"}), now=0, ttl=10)
+        return rival(n, p)
+
+    led.log.add = add
+    assert led.lease("mcl", listing(spark, {"a": "1"}), now=0, ttl=10) == 2
+    assert sorted((r["name"], r.token) for r in led.items("mcl").collect()) == [("a", 2), ("z", 1)]
 
 
 # --- problem 4 ------------------------------------------------------------------------------------
