@@ -11,7 +11,7 @@ from legis_engine.functions.timestamps import by_convention, iso_date, iso_insta
 from legis_engine.operators import viterbi
 from legis_engine.operators.ledger import StaleWriter, WorkLedger, listings_of, replay, run_outcomes, taken_in, transitions
 from legis_engine.operators.orphans import OrphanState, orphan_references, orphan_state, parent_events, parent_index, references
-from legis_engine.operators.satellites import build_satellite, document_history, mark_hot
+from legis_engine.operators.satellites import build_satellite, document_history, history_view, mark_hot
 from legis_engine.operators.snapshots import corpus_changes
 from legis_engine.operators.timestamps import normalise_times
 
@@ -399,10 +399,41 @@ def test_problem_5_nulls_and_empty(spark):
     assert document_history(vers(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [200_000, 2])
+def test_problem_5_two_states_at_one_instant(spark, hot):
+    rows = [(1, "2024-01-01", "aa", "x"), (1, "2024-01-01", "bb", "y"), (1, "2024-01-02", "bb", "x"), (1, "2024-02-03", "cc", "x"), (2, "2024-01-01", "aa", "y"), (2, "2024-01-01", "bb", "x"), (2, "2024-03-01", "bb", "x")]
+    got = sorted(tuple(r) for r in document_history(vers(spark, rows), hot).collect())
+    assert got == brute_history(rows)
+    assert (1, "2024-01-01", "2024-01-01", "x") in got and (1, "2024-02-03", "", "x") in got
+
+
 def test_satellites_only_take_insertions(spark):
-    obs = mark_hot(vers(spark, [(1, "2024-01-01", "aa", "x"), (1, "2024-01-02", "aa", "x"), (1, "2024-01-03", "bb", "x")]).drop("_hot"), "document_id")
-    sat = build_satellite(obs, "document_id", "first_seen", ["content_hash"])
+    see = lambda rows: mark_hot(vers(spark, rows).drop("_hot"), "document_id")
+    first = [(1, "2024-01-01", "aa", "x"), (1, "2024-01-02", "aa", "x"), (1, "2024-01-03", "bb", "x")]
+    sat = build_satellite(see(first), "document_id", "first_seen", ["content_hash"])
     assert [(r.first_seen, r.content_hash) for r in sat.orderBy("first_seen").collect()] == [("2024-01-01", "aa"), ("2024-01-03", "bb")]
-    more = mark_hot(vers(spark, [(1, "2024-01-03", "bb", "x"), (1, "2024-01-04", "bb", "x"), (1, "2024-01-05", "aa", "x"), (2, "2024-01-01", "aa", "x")]).drop("_hot"), "document_id")
-    add = build_satellite(more, "document_id", "first_seen", ["content_hash"], after=sat)
+    more = [(1, "2024-01-04", "bb", "x"), (1, "2024-01-05", "aa", "x"), (2, "2024-01-01", "aa", "x")]
+    add = build_satellite(see(more), "document_id", "first_seen", ["content_hash"], after=sat, log=see(first))
     assert sorted((r.document_id, r.first_seen) for r in add.collect()) == [(1, "2024-01-05"), (2, "2024-01-01")]
+    with pytest.raises(ValueError):
+        build_satellite(see(more), "document_id", "first_seen", ["content_hash"], after=sat)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_satellites_with_late_rows_equal_those_built_at_once(spark, seed):
+    """Observations in batches of any order: the same history, and nothing inserted is ever taken back."""
+    rnd = random.Random(seed)
+    rows = [(d, f"2024-0{rnd.randint(1, 6)}-{rnd.randint(1, 9):02d}", rnd.choice("abc"), rnd.choice("xy")) for d in (1, 2) for _ in range(14)]
+    see = lambda part: mark_hot(vers(spark, part).drop("_hot"), "document_id", 5)
+    attrs, tie = {"content": ["content_hash"], "state": ["status"]}, ["content_hash", "status"]
+    sats, seen = {}, []
+    for part in (rows[::3], rows[1::3], rows[2::3]):
+        for n, a in attrs.items():
+            old = sats.get(n)
+            new = build_satellite(see(part), "document_id", "first_seen", a, tie, old, see(seen) if old is not None else None)
+            sats[n] = old.unionByName(new) if old is not None else new
+            sats[n] = spark.createDataFrame(sats[n].collect(), sats[n].schema)
+        seen += part
+    hot = {n: mark_hot(s.drop("_hot"), "document_id", 5) for n, s in sats.items()}
+    view = history_view(hot, "document_id", "first_seen", attrs, tie)
+    assert sorted((r.document_id, r.valid_from, r.valid_to or "", r.status) for r in view.collect()) == brute_history(rows)
