@@ -6,7 +6,7 @@ import argparse
 import json
 
 from .api import Service
-from .refresh import Feed
+from .refresh import Feed, summarize
 from .session import build_session
 from .sources.loaders import get_source, rss_items
 from .store import Store
@@ -40,7 +40,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.verb == "feed":
         events = rss_items(store.spark, a.file)
         feed = Feed(store)
-        out = {"items": events.count()}
+        out = summarize(events)
         if a.record or a.refresh_from:
             out["recorded"] = feed.take(events)
         if a.refresh_from:

@@ -459,6 +459,45 @@ def feed_classify(spark, d):
     return f.select("event_id", fd.classify(F.col("raw_title"), F.col("object_name")).alias("e")).select("event_id", "e.*")
 
 
+_NODES = """(SELECT DISTINCT event_id, substr(citation, 5) || coalesce(CASE WHEN variant LIKE '[%' THEN variant WHEN variant <> '' THEN '.' || variant END, '') AS node,
+  citation, CAST(NULL AS VARCHAR) AS act, nullif(variant, '') AS variant, '' AS what FROM feed_events WHERE citation IS NOT NULL
+  UNION ALL SELECT DISTINCT event_id, 'Act.' || split_part(act_citation, ' ', 3) || '.of.' || substr(act_citation, 1, 4), NULL, act_citation, NULL, 'act_' FROM feed_events WHERE starts_with(kind, 'act_')
+  UNION ALL SELECT DISTINCT event_id, split_part(act_citation, ' ', 3) || '.' || substr(act_citation, 1, 4) || '.5.II-A', NULL, act_citation, NULL, 'heading_' FROM feed_events WHERE starts_with(kind, 'heading_') AND act_citation IS NOT NULL)"""
+
+
+@query(f"""SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 'unrecognized' ELSE what || (CASE event_id % 2 WHEN 0 THEN 'deleted' ELSE 'moved_to_code' END) END AS kind,
+CASE WHEN event_id % 3 <> 2 THEN citation END AS citation, CASE WHEN event_id % 3 <> 2 THEN act END AS act_citation, CASE WHEN event_id % 3 <> 2 THEN variant END AS variant FROM {_NODES}""")
+def feed_titles(spark, d):
+    """Titles of every form, written from the fields of events and read back: sections with variants, acts and
+    heading nodes, told with a dash, with "has been", or (a third) in a form nobody knows."""
+    f = table(spark, d, "feed_events").select("event_id", "citation", "act_citation", "variant", F.col("kind").alias("was")).distinct()
+    year, number, has = F.substring("act_citation", 1, 4), F.substring_index("act_citation", " ", -1), F.coalesce(F.col("variant"), F.lit("")) != ""
+    node = (
+        F.when(F.col("citation").isNotNull(), F.concat(F.substring("citation", 5, 99), F.when(~has, "").when(F.col("variant").startswith("["), F.col("variant")).otherwise(F.concat(F.lit("."), "variant"))))
+        .when(F.col("was").startswith("act_"), F.concat(F.lit("Act."), number, F.lit(".of."), year))
+        .when(F.col("was").startswith("heading_"), F.concat(number, F.lit("."), year, F.lit(".5.II-A")))
+    )
+    verb = F.when(F.col("event_id") % 2 == 0, "deleted").otherwise("Moved  to code")
+    link = F.element_at(F.array(F.lit(" - "), F.lit(" has  been "), F.lit(" ought to be ")), (F.col("event_id") % 3 + 1).cast("int"))
+    told = f.where(node.isNotNull()).select("event_id", F.concat(F.lit("Section "), node, link, verb).alias("title"))
+    return told.select("event_id", fd.classify(F.col("title"), F.lit(None).cast("string")).alias("e")).select("event_id", "e.*")
+
+
+_SEEN = "(SELECT DISTINCT event_id, raw_title, object_name, kind, citation, act_citation, nullif(variant, '') AS variant FROM feed_events)"
+
+
+@query(f"""SELECT DISTINCT list, value FROM (
+SELECT 'variant_nodes' AS list, citation || ' ' || variant AS value FROM {_SEEN} WHERE variant IS NOT NULL UNION ALL SELECT 'act_level_events', act_citation FROM {_SEEN} WHERE kind LIKE 'act\_%' ESCAPE '\'
+UNION ALL SELECT 'acts_touched', act_citation FROM {_SEEN} WHERE act_citation IS NOT NULL UNION ALL SELECT 'unrecognized_titles', raw_title FROM {_SEEN} WHERE kind = 'unrecognized'
+UNION ALL SELECT 'refetch_sections', citation FROM {_SEEN} WHERE citation IS NOT NULL UNION ALL SELECT 'refetch_objects', object_name FROM {_SEEN} WHERE citation IS NOT NULL AND object_name IS NOT NULL
+UNION ALL SELECT 'recrawl_acts', act_citation FROM {_SEEN} WHERE act_citation IS NOT NULL UNION ALL SELECT 'unrecognized', raw_title FROM {_SEEN} WHERE kind = 'unrecognized')""")
+def feed_lists(spark, d):
+    """The lists of a feed's summary and the work its new events make."""
+    f = table(spark, d, "feed_events").select("event_id", "raw_title", "object_name").distinct()
+    e = f.select("*", fd.classify(F.col("raw_title"), F.col("object_name")).alias("e")).select("raw_title", "object_name", "e.*")
+    return fd.summary_lists(e).unionByName(fd.work_lists(e))
+
+
 @query("SELECT count(DISTINCT (coalesce(feed_built_at, ''), coalesce(raw_title, ''), coalesce(object_name, ''))) AS n_logged, CAST(count(*) AS BIGINT) AS n_delivered FROM feed_events")
 def feed_dedupe(spark, d):
     f = table(spark, d, "feed_events")

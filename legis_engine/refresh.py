@@ -9,14 +9,27 @@ import json
 import os
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .operators.feed import record, resolve_chapters, summary_by_chapter, summary_by_kind
+from .operators.feed import record, resolve_chapters, summary_by_chapter, summary_by_kind, summary_lists, work_lists
 from .sources.loaders import get_source
 from .store import Store
 
 EVENT_COLUMNS = ["raw_title", "object_name", "url", "catchline_hint", "status_hint", "published", "feed_built_at", "kind", "citation", "act_citation", "variant"]
 
 
+def summarize(events: DataFrame) -> dict:
+    """What a feed says: a build's events are a bounded list, so the answer is a small dictionary."""
+    lists: dict[str, list] = {k: [] for k in ("variant_nodes", "act_level_events", "acts_touched", "unrecognized_titles")}
+    for r in summary_lists(events).orderBy("list", "value").collect():
+        lists[r["list"]].append(r.value)
+    chapters = summary_by_chapter(events).orderBy(F.desc("n_events"), "chapter").collect()
+    return {
+        "built_at": events.agg(F.max("feed_built_at")).first()[0], "items": events.count(), "by_kind": {r.kind: r.n_events for r in summary_by_kind(events).collect()},
+        "chapters_touched": {r.chapter: r.n_events for r in chapters}, **lists,
+    }
+
+
 class Feed:
     def __init__(self, store: Store):
         self.store = store
@@ -51,7 +64,10 @@ class Feed:
         rows = resolve_chapters(fresh, self.store.table("documents"), self.store.table("ranges")).collect()
         chapters = sorted({r.chapter for r in rows if r.mapped and r.chapter})
         self._save({"batches": [*plans["batches"], name], "pending": sorted({*plans["pending"], *chapters})})
-        return {
+        lists: dict[str, list] = {k: [] for k in ("refetch_sections", "refetch_objects", "recrawl_acts", "unrecognized")}
+        for r in work_lists(fresh).orderBy("list", "value").collect():
+            lists[r["list"]].append(r.value)
+        return lists | {
             "new_events": fresh.count(), "by_kind": {r.kind: r.n_events for r in summary_by_kind(events).collect()},
             "chapters_touched": {r.chapter: r.n_events for r in summary_by_chapter(events).collect()},
             "refresh_chapters": chapters, "unmapped_acts": sorted(r.act_citation for r in rows if not r.mapped),
@@ -63,5 +79,7 @@ class Feed:
         if not plans["pending"]:
             return None
         report = self.store.ingest(get_source(self.store.spark, kind, path, wanted=plans["pending"]), guard, now)
-        self._save(self._plans() | {"pending": []})
+        # What was added to the plan during the ingest stays for the next one.
+        now_planned = self._plans()
+        self._save(now_planned | {"pending": [c for c in now_planned["pending"] if c not in plans["pending"]]})
         return report

@@ -101,26 +101,26 @@ def get_source(spark: SparkSession, kind: str, path: str, **options) -> Crawl:
     return SOURCES[kind](spark, path, **options)
 
 
-_ITEM = T.StructType([T.StructField(n, T.StringType()) for n in ("title", "link", "guid", "description", "pubDate")])
+_CHANNEL = "title string, lastBuildDate string, item array<struct<title:string,link:string,guid:string,description:string,pubDate:string>>"
 # Fixed value: the sentence that ends every item's description.
-BOILERPLATE = r"(?i)\s*(?:Click|Follow) (?:here|the link) .*$"
+BOILERPLATE = r"\s*Please see compilers notes or history at the bottom of the section for details\.?\s*$"
 
 
 def rss_items(spark: SparkSession, path: str) -> DataFrame:
-    """Items of RSS files with the channel's build time, classified into events."""
-    channel = spark.read.format("xml").schema("title string, lastBuildDate string").option("rowTag", "channel").load(path).first()
-    if channel is None:
-        raise ValueError("no channel: not an RSS feed")
-    items = spark.read.format("xml").schema(_ITEM).option("rowTag", "item").load(path)
+    """Items of RSS files, each with the build time of its own channel, classified into events."""
     from ..functions.timestamps import by_convention, iso_instant, with_time_candidates
 
-    utc = items.withColumns({"feed_built_raw": F.lit(channel.lastBuildDate), "_utc": F.lit("UTC")})
+    channels = spark.read.format("xml").schema(_CHANNEL).option("rowTag", "channel").load(path)
+    if channels.limit(1).count() == 0:
+        raise ValueError("no channel: not an RSS feed")
+    utc = channels.select(F.col("lastBuildDate").alias("feed_built_raw"), F.inline("item")).withColumn("_utc", F.lit("UTC"))
     for value, out in (("pubDate", "published"), ("feed_built_raw", "feed_built_at")):
         utc = with_time_candidates(utc, value, "_utc", "_c").withColumn(out, iso_instant(by_convention(F.col("_c")))).drop("_c")
     obj = fd.object_name(F.col("link"), F.col("guid"))
     desc = F.trim(F.regexp_replace(collapse(F.coalesce("description", F.lit(""))), BOILERPLATE, ""))
-    ev = utc.select(collapse(F.col("title")).alias("raw_title"), obj.alias("object_name"), F.col("link").alias("url"), desc.alias("catchline_hint"),
-                    fd.status_hint(desc).alias("status_hint"), "published", "feed_built_at", fd.classify(F.col("title"), obj).alias("e"))
+    name = fd.heading(F.col("title"), obj)
+    ev = utc.select(collapse(F.col("title")).alias("raw_title"), obj.alias("object_name"), F.nullif("link", F.lit("")).alias("url"), F.coalesce(name, desc).alias("catchline_hint"),
+                    F.when(name.isNull(), fd.status_hint(desc)).alias("status_hint"), "published", "feed_built_at", fd.classify(F.col("title"), obj).alias("e"))
     return ev.select("*", "e.*").drop("e")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from legis_engine.operators import feed as fd
 from legis_engine.operators.manifest import chapter_files, plan_fetch
 from legis_engine.operators.merge import IntegrityError
-from legis_engine.refresh import Feed
+from legis_engine.refresh import Feed, summarize
 from legis_engine.sources import chapters as ch
 from legis_engine.sources.loaders import directory_listing, get_source, rss_items
 from legis_engine.sources.markup import body_of, fragment_tree, html_tree, xml_tree
@@ -145,6 +145,40 @@ RSS = """<?xml version="1.0"?><rss><channel><title>T</title><lastBuildDate>Wed,
 <item><title>Site notice</title></item></channel></rss>"""
 
 
+TITLES = {
+    "Section 750.83 has been amended": ("amended", "MCL 750.83", None, None), "Section 368.1978.5.55 - added": ("heading_added", None, "1978 PA 368", None),
+    "Section 175.1927.II has been deleted": ("heading_deleted", None, "1927 PA 175", None), "Section 333.2026.amended - added": ("added", "MCL 333.2026", None, "amended"),
+    "Section 5.474c[1]  -  moved to Code": ("moved_to_code", "MCL 5.474c", None, "[1]"), "Section Act.687.of.2002 has been deleted": ("act_deleted", None, "2002 PA 687", None),
+    "Section E.R.O.No.1991.23 has been deleted": ("ero_deleted", None, None, None), "Section Initiated.Law.1.of.2018 - added": ("initiated_law_added", None, None, None),
+    "Section 767A.1 - added": ("added", "MCL 767A.1", None, None), "Section Const-Article-IV-27 - added": ("unrecognized", None, None, None), "Chapter 750 was rebuilt": ("unrecognized", None, None, None),
+    "Section 0.5 - added": ("unrecognized", None, None, None), "Section 750.83 added": ("unrecognized", None, None, None), "": ("unrecognized", None, None, None), None: ("unrecognized", None, None, None),
+}
+
+
+def test_titles_of_every_form(spark):
+    df = spark.createDataFrame([(t,) for t in TITLES], "t string")
+    got = {r.t: tuple(r.e) for r in df.select("t", fd.classify(F.col("t"), F.lit(None).cast("string")).alias("e")).collect()}
+    assert got == TITLES
+    df = spark.createDataFrame([("MENTAL HEALTH - SERVICES - added", "mcl-368-1978-2-23"), ("MENTAL HEALTH - added", None)], "t string, o string")
+    got = [(r.e.kind, r.e.act_citation, r.h) for r in df.select(fd.classify(F.col("t"), F.col("o")).alias("e"), fd.heading(F.col("t"), F.col("o")).alias("h")).collect()]
+    assert got == [("heading_added", "1978 PA 368", "MENTAL HEALTH - SERVICES"), ("unrecognized", None, None)]
+
+
+def test_feeds_of_several_files(spark, tmp_path):
+    """Each item has the build time of its own file; the closing sentence goes, what else is said stays."""
+    for i, hint in ((1, "Expired. 1978, Act 368. Please see compilers notes or history at the bottom of the section for details."), (2, "Click here for fees")):
+        (tmp_path / f"{i}.xml").write_text(RSS.replace("10:00:00", f"1{i}:00:00").replace("Repealed. About.", hint))
+    got = {(r.feed_built_at, r.catchline_hint, r.status_hint) for r in rss_items(spark, str(tmp_path)).where("citation = 'MCL 750.83'").collect()}
+    assert got == {("2026-09-02T11:00:00Z", "Expired. 1978, Act 368.", "expired"), ("2026-09-02T12:00:00Z", "Click here for fees", None)}
+    s = summarize(rss_items(spark, str(tmp_path / "1.xml")))
+    assert (s["items"], s["built_at"], s["by_kind"]["act_deleted"], s["chapters_touched"]) == (5, "2026-09-02T11:00:00Z", 1, {"750": 1, "752": 1})
+    assert s["variant_nodes"] == ["MCL 752.863 [a]"] and s["act_level_events"] == ["1950 PA 5"] and s["acts_touched"] == ["1950 PA 5", "2002 PA 447"] and s["unrecognized_titles"] == ["Site notice"]
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "x.xml").write_text("<html><body/></html>")
+    with pytest.raises(ValueError):
+        rss_items(spark, str(tmp_path / "none"))
+
+
 def test_feed_and_refresh(spark, tmp_path):
     (tmp_path / "feed.xml").write_text(RSS)
     ev = rss_items(spark, str(tmp_path / "feed.xml"))
@@ -161,6 +195,8 @@ def test_feed_and_refresh(spark, tmp_path):
     (tmp_path / "xml" / "Chapter 760.xml").write_bytes(chapter("760", (*ACT, section("760.1"))))
     feed = Feed(store)
     took = feed.take(ev)
+    assert took["refetch_sections"] == ["MCL 750.83", "MCL 752.863"] and took["recrawl_acts"] == ["1950 PA 5", "2002 PA 447"] and took["unrecognized"] == ["Site notice"]
+    assert took["refetch_objects"] == ["mcl-750-83", "mcl-752-863-a"]
     assert took["new_events"] == 5 and took["refresh_chapters"] == ["750", "752"] and took["unmapped_acts"] == ["1950 PA 5", "2002 PA 447"]
     with pytest.raises(FileNotFoundError):
         feed.refresh("mcl-xml-files", str(tmp_path / "db" / "feed"))  # fails: the plan stays pending
