@@ -487,7 +487,7 @@ _SEEN = "(SELECT DISTINCT event_id, raw_title, object_name, kind, citation, act_
 
 
 @query(f"""SELECT DISTINCT list, value FROM (
-SELECT 'variant_nodes' AS list, citation || ' ' || variant AS value FROM {_SEEN} WHERE variant IS NOT NULL UNION ALL SELECT 'act_level_events', act_citation FROM {_SEEN} WHERE kind LIKE 'act\_%' ESCAPE '\'
+SELECT 'variant_nodes' AS list, citation || ' ' || variant AS value FROM {_SEEN} WHERE variant IS NOT NULL UNION ALL SELECT 'act_level_events', act_citation FROM {_SEEN} WHERE starts_with(kind, 'act_') AND act_citation IS NOT NULL
 UNION ALL SELECT 'acts_touched', act_citation FROM {_SEEN} WHERE act_citation IS NOT NULL UNION ALL SELECT 'unrecognized_titles', raw_title FROM {_SEEN} WHERE kind = 'unrecognized'
 UNION ALL SELECT 'refetch_sections', citation FROM {_SEEN} WHERE citation IS NOT NULL UNION ALL SELECT 'refetch_objects', object_name FROM {_SEEN} WHERE citation IS NOT NULL AND object_name IS NOT NULL
 UNION ALL SELECT 'recrawl_acts', act_citation FROM {_SEEN} WHERE act_citation IS NOT NULL UNION ALL SELECT 'unrecognized', raw_title FROM {_SEEN} WHERE kind = 'unrecognized')""")
