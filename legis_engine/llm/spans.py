@@ -9,8 +9,10 @@ span shared by two records has the same anchors in both, and at least one.
    hash). Prefixes seen in one record only are dropped before any text is moved.
 2. The suffixes of a prefix form one subtree, built as sorted suffixes with the lengths of
    common prefixes; a twin order sorts the text before the anchors, read backwards. Partitions
-   above ``GROUP`` suffixes get the longest useful prefixes instead: the whole windows of the
-   span length around their anchors, counted by fingerprint without collecting a group.
+   above ``GROUP`` suffixes are split by longer prefixes until they fit (``_split``): suffixes
+   with equal text all round count once, the rest is divided by how far a repeat may reach behind
+   the anchor, each band by as many characters on both sides as a repeat in it must share.
+   Characters are compared in every form; hashes only bring candidates together.
 3. Each internal node of a subtree is visited deepest first. Its depth plus the longest common
    text before the anchors of two of its suffixes from different records is a repeat; if that
    is long enough it extends the record's stretch around the anchor.
@@ -34,6 +36,8 @@ from ..session import materialize, ship
 SPAN = 400
 SEED = 100
 GROUP = 5000
+BAND = 50
+BUCKETS = 1 << 20
 _PIECE = 1 << 20
 _ROWS = 20_000
 
@@ -168,9 +172,16 @@ _CONTEXT = T.StructType([
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """The text on either side of each wanted anchor, one span length at most."""
+    """The text on either side of each wanted anchor, one span length at most.
+
+    Texts without a wanted anchor are mostly set aside before anything is shuffled: by a list of the
+    hash buckets that hold one, which has at most ``BUCKETS`` numbers however large the corpus is
+    (with more such texts than buckets it lets more through, and the join decides).
+    """
     # Per text its own anchors only: bounded by the text itself.
     per = wanted.groupBy("doc_id", "v").agg(F.collect_set(F.struct("pos", "h")).alias("at"))
+    bucket = F.pmod(F.xxhash64("doc_id", "v"), F.lit(BUCKETS))
+    docs = docs.withColumn("_b", bucket).join(F.broadcast(wanted.select(bucket.alias("_b")).distinct()), "_b", "left_semi").drop("_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,67 +288,96 @@ def subtree_repeats(h: np.ndarray, doc: np.ndarray, before: list[str], after: li
 _SPAN = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start_pos", T.LongType()), T.StructField("end_pos", T.LongType())])
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by ``h`` in tables of about ``_ROWS`` rows that never cut a group in two."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count < _ROWS:
+            continue
+        # All prefixes but the last are complete.
+        table = pa.Table.from_batches(held)
+        h = table["h"].to_numpy()
+        whole = int(np.flatnonzero(h != h[-1])[-1]) + 1 if (h != h[-1]).any() else 0
+        if whole:
+            yield table.slice(0, whole)
+        held, count = table.slice(whole).to_batches(), table.num_rows - whole
+    if count:
+        yield pa.Table.from_batches(held)
+
+
+def _reaches(table: pa.Table, span: int) -> tuple[np.ndarray, np.ndarray]:
+    return subtree_repeats(table["h"].to_numpy(), table["doc_id"].to_numpy(), table["before"].to_pylist(), table["after"].to_pylist(), span)
+
+
 def _subtrees(ctx: DataFrame, span: int) -> DataFrame:
     """Stretches from all subtrees: each prefix in one task, a bounded number of rows at a time."""
 
-    def solve(table: pa.Table) -> pa.RecordBatch:
-        h, doc, pos = (table[c].to_numpy() for c in ("h", "doc_id", "pos"))
-        lo, hi = subtree_repeats(h, doc, table["before"].to_pylist(), table["after"].to_pylist(), span)
-        ok = hi >= 0
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc[ok]), pa.array(pos[ok] - lo[ok]), pa.array(pos[ok] + hi[ok])], names=["doc_id", "start_pos", "end_pos"]
-        )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        count = 0
-        for batch in batches:
-            held.append(batch)
-            count += batch.num_rows
-            if count < _ROWS:
-                continue
-            # All prefixes but the last are complete.
-            table = pa.Table.from_batches(held)
-            h = table["h"].to_numpy()
-            whole = int(np.flatnonzero(h != h[-1])[-1]) + 1 if (h != h[-1]).any() else 0
-            if whole:
-                yield solve(table.slice(0, whole))
-            held, count = table.slice(whole).to_batches(), table.num_rows - whole
-        if count:
-            yield solve(pa.Table.from_batches(held))
+        for table in _whole_groups(batches):
+            lo, hi = _reaches(table, span)
+            ok = hi >= 0
+            doc, pos = (table[c].to_numpy()[ok] for c in ("doc_id", "pos"))
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(pos - lo[ok]), pa.array(pos + hi[ok])], names=["doc_id", "start_pos", "end_pos"])
 
     return ctx.repartition("h").sortWithinPartitions("h").mapInArrow(run, _SPAN)
 
 
-_WINDOW = T.StructType([
-    T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("start_pos", T.LongType()),
+_REACH = T.StructType([
+    T.StructField("g", T.LongType()), T.StructField("before", T.StringType()), T.StructField("after", T.StringType()), T.StructField("l", T.LongType()), T.StructField("r", T.LongType()),
 ])
 
 
-def _windows(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """Shared windows around the anchors of too popular prefixes, by 128-bit fingerprint."""
-    per = wanted.groupBy("doc_id", "v").agg(F.collect_set("pos").alias("at"))
+def _split(ctx: DataFrame, span: int, seed: int, group: int) -> DataFrame:
+    """Stretches of prefixes with too many suffixes for one subtree, by prefixes of variable length.
+
+    1. Suffixes with the same text on both sides form one class. A class of several records is a
+       repeat as far as its text goes, so copies never meet each other; it takes part in the rest
+       as a partner only, by two of its records.
+    2. A repeat that reaches d characters behind the anchor, d from s to t, has s characters behind
+       and ``span`` - t before it in common. For each band of d those characters are the prefix.
+    3. A band's group is a subtree if it fits. If not, more than ``group`` different texts share
+       nearly a whole span; there each window of the span length in the band is its own prefix, as
+       a string, and two records that have it share it.
+    """
+    same = ["h", "before", "after"]
+    ctx = materialize(ctx, "popular_contexts")
+    classes = materialize(ctx.groupBy(*same).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "classes")
+    whole = classes.where("lo < hi").select(*same, F.length("before").cast("bigint").alias("l"), F.length("after").cast("bigint").alias("r"))
+    one = classes.select(*same, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("doc_id"))
+    bands = [(s, min(s + BAND, span + 1) - 1) for s in range(seed, span + 1, BAND)]
+    behind = lambda k: F.substring("after", 1, k)
+    front = lambda k: F.substring("before", -k, k) if k else F.lit("")
+    keys = F.array(*[
+        F.when((F.length("after") >= s) & (F.length("before") >= span - t), F.struct(F.lit(s).alias("s"), F.lit(t).alias("t"), F.xxhash64("h", F.lit(s), behind(s), front(span - t)).alias("k")))
+        for s, t in bands
+    ])
+    keyed = one.select(*same, "doc_id", F.inline(F.filter(keys, lambda x: x.isNotNull())))
+    sized = keyed.groupBy("k").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo < _hi").select("k", "_n")
+    met = materialize(keyed.join(sized, "k"), "banded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, text, at in _rows(batch):
-                codes = _codes(text)
-                near = np.zeros(len(codes) + 1, dtype=np.int64)
-                at = np.array(at)
-                np.add.at(near, np.maximum(at - span, 0), 1)
-                np.add.at(near, at + 1, -1)
-                s = np.flatnonzero(np.cumsum(near[:-1])[: len(codes) - span + 1])
-                for lo in range(0, len(s), _PIECE):
-                    part = s[lo : lo + _PIECE]
-                    base, end = int(part[0]), int(part[-1]) + span
-                    a, b = (_rolling(codes[base:end], span, c)[part - base].view(np.int64) for c in (_BASE, 0xD1342543DE82EF95))
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(part), doc)), pa.array(part)], names=["a", "b", "doc_id", "start_pos"])
-
-    found = docs.join(per, ["doc_id", "v"]).select("doc_id", "text", "at").mapInArrow(run, _WINDOW)
-    found = materialize(found, "windows")
-    shared = found.groupBy("a", "b").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi")
-    hits = found.join(shared.select("a", "b"), ["a", "b"], "left_semi")
-    return hits.select("doc_id", "start_pos", (F.col("start_pos") + span).alias("end_pos"))
+        for table in _whole_groups(batches):
+            lo, hi = _reaches(table, span)
+            ok = pa.array(hi >= 0)
+            kept = table.filter(ok)
+            cols = [kept[c].combine_chunks() for c in ("g", "before", "after")]
+            cols = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(lo[hi >= 0]), pa.array(hi[hi >= 0])], names=["g", "before", "after", "l", "r"])
+
+    fits = met.where(F.col("_n") <= group).select(F.col("k").alias("h"), F.col("h").alias("g"), "doc_id", "before", "after")
+    by_tree = fits.repartition("h").sortWithinPartitions("h").mapInArrow(run, _REACH).withColumnRenamed("g", "h")
+    # Windows: d characters behind the anchor, the rest before it. There is a bounded number per class.
+    d = F.explode(F.filter(F.sequence("s", "t"), lambda x: (x <= F.length("after")) & (F.lit(span) - x <= F.length("before"))))
+    windows = met.where(F.col("_n") > group).select(*same, "doc_id", d.alias("d"))
+    cut = F.expr(f"concat(right(before, {span} - d), left(after, d))")
+    windows = windows.withColumn("w", cut)
+    shared = windows.groupBy("w").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi").select("w")
+    by_window = windows.join(shared, "w", "left_semi").groupBy(*same).agg(F.max(F.lit(span) - F.col("d")).cast("bigint").alias("l"), F.max("d").cast("bigint").alias("r"))
+    reach = whole.unionByName(by_tree).unionByName(by_window).groupBy(*same).agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    return ctx.join(reach, same).select("doc_id", (F.col("pos") - F.col("l")).alias("start_pos"), (F.col("pos") + F.col("r")).alias("end_pos"))
 
 
 def merge_runs(spans: DataFrame) -> DataFrame:
@@ -359,7 +399,8 @@ def shared_spans(
 
     Characters are code points and compare exactly. Null, empty and shorter texts share nothing;
     rows of one id are one document (repeated rows count once); rows without an id are no
-    documents. ``group`` is the largest subtree built in a task; beyond it windows are counted.
+    documents. ``group`` is the largest subtree built in a task; larger ones are split by longer
+    prefixes, with the same result.
     """
     if not 0 < seed < span:
         raise ValueError("the seed must be shorter than the span")
@@ -373,5 +414,5 @@ def shared_spans(
     spans = _subtrees(contexts(docs, wanted.where(F.col("_n") <= group), span), span)
     hot = wanted.where(F.col("_n") > group)
     if hot.limit(1).count():
-        spans = spans.unionByName(_windows(docs, hot, span))
+        spans = spans.unionByName(_split(contexts(docs, hot, span), span, seed, group))
     return merge_runs(spans)

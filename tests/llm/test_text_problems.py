@@ -143,6 +143,19 @@ def test_spans_equal_brute_force(spark, seed, group):
     assert got == brute_spans(docs, 60)
 
 
+@pytest.mark.parametrize(("seed", "group", "band"), [(1, 3, 10), (2, 1, 7), (3, 2, 10), (4, 8, 50), (5, 4, 1)])
+def test_spans_of_popular_prefixes_equal_brute_force(spark, monkeypatch, seed, group, band):
+    """One wording in most records, with copies, near copies and other text round it: split down to trees and windows."""
+    monkeypatch.setattr(spans, "BAND", band)
+    rnd = random.Random(seed)
+    make = lambda k: "".join(rnd.choice("abé🙂 ") for _ in range(k))
+    hot = make(55)
+    docs = span_case(seed, 12) + [(600 + i, make(rnd.randint(0, 9)) + hot[rnd.randint(0, 3) :] + hot[:3] * (i % 3) + make(rnd.randint(0, 9))) for i in range(30)]
+    docs += [(700 + i, "z" + docs[-1][1] + "q") for i in range(8)] + [(720, (hot + "#") * 4)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert {tuple(r) for r in spans.shared_spans(df, span=60, seed=20, group=group).collect()} == brute_spans(docs, 60)
+
+
 def test_spans_production_length_and_empty(spark):
     rnd = random.Random(3)
     make = lambda k: "".join(rnd.choice("abcdefghij ") for _ in range(k))
