@@ -35,7 +35,9 @@ PASSAGE = 64
 BLOCK = 16
 K1, B = 1.2, 0.75
 #: Items and characters of one index. More items than that are searched index by index.
-MAX_ITEMS, MAX_CHARS = 20_000, 32_000_000
+MAX_ITEMS, MAX_CHARS = 20_000, 4_000_000
+#: Indexes that one scan of the corpus asks, so that no worker holds more.
+PER_PASS = 2
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -241,22 +243,38 @@ def search_batch(index: ItemIndex, docs: list[tuple[int, str | None]], length: i
     return sorted(out, key=lambda x: (x[0] is None, x))
 
 
-def _shards(items: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, str | None]]]:
-    """The items, in lists that each fit one index. The held-out set is what is asked, not the corpus."""
-    shards: list[list[tuple[int, str | None]]] = [[]]
+def _shards(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str | None]]]:
+    """The items one shard at a time, each of a size that fits one index; never more than one shard
+    is held here. The held-out set is what is asked, not the corpus."""
+    shard: list[tuple[int, str | None]] = []
     chars = 0
     for r in items.select(id_col, text_col).where(F.col(text_col).isNotNull()).distinct().toLocalIterator():
-        if shards[-1] and (len(shards[-1]) >= MAX_ITEMS or chars + len(r[1]) > MAX_CHARS):
-            shards.append([])
-            chars = 0
-        shards[-1].append((r[0], r[1]))
+        if shard and (len(shard) >= MAX_ITEMS or chars + len(r[1]) > MAX_CHARS):
+            yield shard
+            shard, chars = [], 0
+        shard.append((r[0], r[1]))
         chars += len(r[1])
-    return shards
+    yield shard
 
 
 _SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.LongType())])
 
 
+def _searcher(sent: list, passage: int):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        indexes = [b.value for b in sent]
+        for batch in batches:
+            rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for i in range(0, len(rows), 1000):
+                got = [x for index in indexes for x in search_batch(index, rows[i : i + 1000], passage)]
+                if got:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([d for d, _ in got], pa.int64()), pa.array([k for _, k in got], pa.int64())], names=["doc_id", "item_id"]
+                    )
+
+    return search
+
+
 def leaked_items(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id",
     item_text: str = "text", run: int = RUN, passage: int = PASSAGE,
@@ -265,28 +283,19 @@ def leaked_items(
     item (all its words if it has fewer).
 
     Null and blank texts and items without words give nothing; repeated rows count once. The
-    index of one shard of items (bounded by MAX_ITEMS and MAX_CHARS) goes to the workers; a
-    larger set is searched shard by shard. Documents are not shuffled.
+    index of a shard of items (bounded by MAX_ITEMS and MAX_CHARS) is built once and goes to the
+    workers; one scan of the corpus asks up to PER_PASS shards, a larger set takes further scans.
+    Documents are not shuffled.
     """
     if passage < 2 * run:
         raise ValueError("a passage must hold at least two runs")
     spark = docs.sparkSession
     ship(spark)
+    # Built once per shard; workers unpack a ready index, and keep it while they live.
+    sent = [spark.sparkContext.broadcast(ItemIndex(shard, run)) for shard in _shards(items, item_id, item_text)]
+    texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(doc_text).alias("text")).where(F.col("text").isNotNull())
     out = None
-    for shard in _shards(items, item_id, item_text):
-        sent = spark.sparkContext.broadcast(shard)
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(sent.value, run)
-            for batch in batches:
-                rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-                for i in range(0, len(rows), 1000):
-                    got = search_batch(index, rows[i : i + 1000], passage)
-                    if got:
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([d for d, _ in got], pa.int64()), pa.array([k for _, k in got], pa.int64())], names=["doc_id", "item_id"]
-                        )
-
-        part = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(doc_text).alias("text")).where(F.col("text").isNotNull()).mapInArrow(search, _SCHEMA)
+    for i in range(0, len(sent), PER_PASS):
+        part = texts.mapInArrow(_searcher(sent[i : i + PER_PASS], passage), _SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out.distinct()
