@@ -341,10 +341,19 @@ def changes_by_month(spark, d):
     return change_log(spark, d).groupBy("source", "change_type", F.substring("at", 1, 7).alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT doc_id, sha256('["' || coalesce(citation, '') || '", "", "' || coalesce(act_name, '') || '", "", "' || coalesce(kind, '') || '"]') AS content_hash FROM documents""")
+# A text as the digest sees it: white space of any script to single blanks, then a JSON string.
+_SPACES = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def _digest(*columns: str) -> str:
+    told = [f"CAST(to_json(trim(regexp_replace(coalesce({c}, ''), '{_SPACES}', ' ', 'g'))) AS VARCHAR)" for c in columns]
+    return "sha256('[' || " + " || ', ' || ".join(told) + " || ']')"
+
+
+@query(f"SELECT doc_id, {_digest('citation', 'text', 'act_name', 'url', 'kind')} AS content_hash FROM documents")
 def content_hash_query(spark, d):
-    e = F.lit("")
-    return table(spark, d, "documents").select("doc_id", content_hash(F.col("citation"), e, F.col("act_name"), e, F.col("kind")).alias("content_hash"))
+    """The digest of whole texts, with whatever white space, signs and scripts they have."""
+    return table(spark, d, "documents").select("doc_id", content_hash(*[F.col(c) for c in ("citation", "text", "act_name", "url", "kind")]).alias("content_hash"))
 
 
 _SNAP = f"""(SELECT DISTINCT snapshot_no, lower(trim(source)) AS source, {_cite("citation")} AS citation, coalesce(variant, '') AS variant, coalesce(lower(content_hash), '') AS h
@@ -432,6 +441,76 @@ def merge_run_report(spark, d):
     return spark.createDataFrame([tuple(r[c] for c in cols) for r in merge_replay(spark, d)[2]], ", ".join(f"{c} bigint" for c in cols))
 
 
+def crawled(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as a crawl brings them, act names for catchlines, with their numbers."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "citation", F.coalesce("variant", F.lit("")).alias("variant"), "kind", "chapter", "act_citation", "act_name", "url", F.col("act_name").alias("catchline"), "text")
+    rest = [F.lit(None).cast("string").alias(c) for c in ("history_note", "compilers_notes", "effective_date")]
+    return docs.select(F.col("doc_id").alias("ordinal"), "*", F.lit("active").alias("status"), *rest)
+
+
+ALL_KINDS = ["mcl", "mcr", "mre", "const"]
+
+
+def _empty(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    return spark.createDataFrame([], mg.DOCUMENTS), spark.createDataFrame([], mg.VERSIONS)
+
+
+@query(f"""WITH t AS (SELECT *, source = 'mcl' AND coalesce(TRY_CAST(regexp_extract(chapter, '^[0-9]+') AS INTEGER) % 2 = 0, FALSE) AS scoped FROM documents),
+u AS (SELECT *, scoped AND doc_id % 5 = 0 AS gone, scoped AND doc_id % 5 = 1 AS changed, CASE WHEN scoped AND doc_id % 5 = 1 THEN coalesce(text, '') || ' Amended "so".' ELSE text END AS now FROM t)
+SELECT citation, coalesce(variant, '') AS variant, NOT gone AS active, CASE WHEN gone THEN '2' END AS removed_at, CASE WHEN changed THEN 2 ELSE 1 END AS n_versions,
+CASE WHEN scoped AND NOT gone THEN '2' ELSE '1' END AS last_seen, {_digest("act_name", "now", "''", "''", "'active'")} AS content_hash, CASE WHEN gone THEN 'removed' WHEN changed THEN 'modified' END AS change_type FROM u""")
+def merge_scope(spark, d):
+    """All documents merged with their whole texts, then a crawl of the even chapters in which a fifth is missing and
+    a fifth has another text: nothing outside its scope is touched."""
+    docs, versions = _empty(spark)
+    rows = crawled(spark, d)
+    one = mg.merge(docs, versions, rows.drop("doc_id"), mg.Run(1, "1", "all", ALL_KINDS))
+    docs, versions = reliable(one.documents), reliable(one.versions)
+    even = F.coalesce(F.regexp_extract("chapter", "^[0-9]+", 0).try_cast("int") % 2 == 0, F.lit(False)) & (F.col("source") == "mcl")
+    # There are some hundred chapters, however many documents.
+    scope = [r.chapter for r in rows.where(even).select("chapter").distinct().collect()]
+    again = rows.where(even & (F.col("doc_id") % 5 != 0)).withColumn("text", F.when(F.col("doc_id") % 5 == 1, F.concat(F.coalesce("text", F.lit("")), F.lit(' Amended "so".'))).otherwise(F.col("text")))
+    two = mg.merge(docs, versions, again.drop("doc_id"), mg.Run(2, "2", "mcl", ["mcl"], chapters=scope, guard=0.5))
+    v = two.versions.groupBy(*mg.KEY).agg(
+        F.count(F.lit(1)).cast("int").alias("n_versions"), F.max(F.when(F.col("is_current"), F.col("last_seen"))).alias("last_seen"), F.max(F.when(F.col("is_current"), F.col("content_hash"))).alias("content_hash")
+    )
+    return two.documents.join(v, mg.KEY).join(two.changes.select(*mg.KEY, "change_type"), mg.KEY, "left").select(
+        "citation", "variant", "active", "removed_at", "n_versions", "last_seen", "content_hash", "change_type"
+    )
+
+
+@query("""WITH k AS (SELECT unnest([7, 8, 9, 10]) AS k), n AS (SELECT CAST(count(*) AS BIGINT) AS held FROM documents),
+s AS (SELECT k, CAST(count(*) FILTER (WHERE doc_id % 10 < k) AS BIGINT) AS seen FROM documents, k GROUP BY k)
+SELECT k, seen, held, seen < 0.85 * held AS refused, CASE WHEN seen < 0.85 * held THEN 0 ELSE held - seen END AS docs_removed FROM s, n""")
+def merge_guard(spark, d):
+    """Complete crawls that see 7, 8, 9 or all of ten documents, against a guard of 85 per cent."""
+    docs, versions = _empty(spark)
+    rows = reliable(crawled(spark, d).withColumn("text", F.lit("")))
+    one = mg.merge(docs, versions, rows.drop("doc_id"), mg.Run(1, "1", "all", ALL_KINDS))
+    docs, versions = reliable(one.documents), reliable(one.versions)
+    out, held = [], docs.count()
+    for k in (7, 8, 9, 10):
+        part = rows.where(F.col("doc_id") % 10 < k)
+        try:
+            m = mg.merge(docs, versions, part.drop("doc_id"), mg.Run(2, "2", "all", ALL_KINDS, guard=0.85))
+            out.append((k, m.report["docs_seen"], held, False, m.report["docs_removed"]))
+        except mg.GuardError:
+            out.append((k, part.count(), held, True, 0))
+    return spark.createDataFrame(out, "k int, seen bigint, held bigint, refused boolean, docs_removed bigint")
+
+
+@query("""SELECT citation, coalesce(variant, '') AS variant, CAST(n AS INTEGER) AS version_no, CASE WHEN n = 1 THEN 'new' ELSE 'modified' END AS change_type,
+n = CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 2 END AS is_current FROM (SELECT *, unnest(range(1, CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 3 END)) AS n FROM documents)""")
+def merge_duplicate_keys(spark, d):
+    """Each key three times in one run, in order: first text, another, then (even documents) the first again."""
+    docs, versions = _empty(spark)
+    rows = crawled(spark, d).withColumn("n", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])))
+    other = (F.col("n") == 2) | ((F.col("n") == 3) & (F.col("doc_id") % 2 == 1))
+    rows = rows.withColumns({"text": F.when(other, "another").otherwise(F.concat_ws(" ", "text", F.lit("first"))), "ordinal": F.struct("doc_id", "n")})
+    m = mg.merge(docs, versions, rows.drop("doc_id", "n"), mg.Run(1, "1", "all", ALL_KINDS))
+    return m.changes.join(m.versions.select(*mg.KEY, "version_no", "is_current"), [*mg.KEY, "version_no"]).select("citation", "variant", "version_no", "change_type", "is_current")
+
+
 # --- history, feed, manifest, bills ----------------------------------------------------------------
 
 

@@ -52,7 +52,7 @@ def json_fixture(spark: SparkSession, path: str) -> Crawl:
     e = raw.select(F.posexplode("documents").alias("ordinal", "d")).select(F.col("ordinal").cast("bigint"), F.lit(head.source).alias("source"), "d.*")
     blank = {c: F.coalesce(c, F.lit("")) for c in ("catchline", "text", "history_note", "compilers_notes", "variant")}
     docs = e.withColumns(blank | {"status": F.coalesce("status", F.lit("active")), "kind": F.coalesce("kind", F.lit("section"))})
-    acts = raw.select(F.inline("public_acts"))
+    acts = raw.select(F.posexplode("public_acts").alias("ordinal", "a")).select("ordinal", "a.*")
     return Crawl(head.source, docs, acts=acts, complete=head.complete, kinds=[head.source])
 
 
@@ -76,12 +76,16 @@ def chapter_folder(spark: SparkSession, path: str, kind: str, wanted: list[str]
     files = rows.where("row = 'chapter'").groupBy("chapter").count().collect()
     if not files:
         raise FileNotFoundError(f"no chapter files under {path}")
+    spans = ch.ranges(rows, recs)
+    told = recs.select(F.col("ordinal.file").alias("file")).union(spans.select("ordinal.file")).distinct()
+    if void := rows.where("row = 'chapter'").join(told, "file", "left_anti").limit(5).collect():
+        raise IntegrityError("; ".join(f"chapter {r.chapter}: no sections; an empty file is not an empty chapter" for r in void))
     if twice := [r.chapter for r in files if r["count"] > 1]:
         raise IntegrityError(f"two files for chapter {twice[0]}")
     covered = sorted({r.chapter for r in files} | {r.chapter for r in recs.select("chapter").distinct().collect()})
     stamp = ch.oldest_currency(rows).first()
     docs = recs.drop("file", "number", "sect_ref", "path", "problem")
-    return Crawl("mcl", docs, ch.ranges(rows, recs), chapters=covered, kinds=["mcl", "const"], currency=stamp.currency if stamp else None)
+    return Crawl("mcl", docs, spans, chapters=covered, kinds=["mcl", "const"], currency=stamp.currency if stamp else None)
 
 
 SOURCES: dict[str, Callable[..., Crawl]] = {
