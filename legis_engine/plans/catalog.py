@@ -165,13 +165,16 @@ def citation_sort(spark, d):
     return table(spark, d, "documents").select("doc_id", sort_key(F.col("citation")).alias("k")).select("doc_id", "k.*")
 
 
+def roman(n: Column) -> Column:
+    """A number below 400 in roman letters."""
+    digits = lambda v, one, five, ten: F.element_at(F.array(*[F.lit(x) for x in ("", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten)]), v + 1)
+    return F.concat(F.repeat(F.lit("C"), F.floor(n / 100).cast("int")), digits(F.floor(n / 10).cast("int") % 10, "X", "L", "C"), digits(n % 10, "I", "V", "X"))
+
+
 @query("SELECT DISTINCT CAST(p_size AS INTEGER) AS n, CAST(p_size AS INTEGER) AS parsed FROM part WHERE p_size BETWEEN 1 AND 399")
 def citation_const_roman(spark, d):
     """Numbers rendered as roman articles and read back."""
-    n = F.col("n")
-    digits = lambda v, one, five, ten: F.element_at(F.array(*[F.lit(x) for x in ("", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten)]), v + 1)
-    roman = F.concat(F.repeat(F.lit("C"), F.floor(n / 100).cast("int")), digits(F.floor(n / 10).cast("int") % 10, "X", "L", "C"), digits(n % 10, "I", "V", "X"))
-    return table(spark, d, "part").select(F.col("p_size").cast("int").alias("n")).distinct().where("n between 1 and 399").select("n", roman_to_int(roman).alias("parsed"))
+    return table(spark, d, "part").select(F.col("p_size").cast("int").alias("n")).distinct().where("n between 1 and 399").select("n", roman_to_int(roman(F.col("n"))).alias("parsed"))
 
 
 # --- references -----------------------------------------------------------------------------------
@@ -718,35 +721,7 @@ def search_stemmed(spark, d):
     return se.search(searchable(spark, d), '"effective dates" NOT tribunals', limit=20).select("doc_id", "citation", "snippet", F.round("score", 6).alias("score"))
 
 
-# --- sources ---------------------------------------------------------------------------------------------
-
-
-@query("""SELECT doc_id, citation, coalesce(variant, '') AS variant, chapter AS chapter, act_citation, 'active' AS status, 1 AS n_lines
-FROM documents WHERE source = 'mcl' AND regexp_matches(coalesce(variant, ''), '^([a-z]*|\\[[A-Za-z0-9]+\\])$')""")
-def xml_roundtrip(spark, d):
-    """Each statute section rendered as a chapter file, parsed and turned into a record again."""
-    from ..session import ship
-    from ..sources import chapters as ch
-
-    ship(spark)
-    docs = table(spark, d, "documents").where(F.col("source") == "mcl").select("doc_id", "citation", "variant", "chapter", "act_citation")
-    number = F.concat(F.substring("citation", 5, 99), F.when(F.col("variant").startswith("["), F.col("variant")).when(F.col("variant") != "", F.concat(F.lit("."), "variant")).otherwise(""))
-    act = F.concat(F.lit("Act "), F.substring_index("act_citation", " ", -1), F.lit(" of "), F.substring("act_citation", 1, 4))
-    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), F.coalesce(c, F.lit("")), F.lit(f"</{name}>"))
-    sec = tag("MCLSectionInfo", F.concat(tag("MCLNumber", number), tag("SectRef", number), tag("CatchLine", F.lit("Fees; duties.")), tag("Repealed", F.lit("false")), tag("BodyText", F.lit("&lt;Paragraph&gt;&lt;P&gt;Text.&lt;/P&gt;&lt;/Paragraph&gt;"))))
-    statute = tag("MCLStatuteInfo", F.concat(tag("Name", act), tag("MCLDocumentInfoCollection", sec)))
-    xml = tag("MCLChapterInfo", F.concat(tag("Name", F.lit("0")), tag("MultiChapter", F.lit("true")), tag("MCLDocumentInfoCollection", statute)))
-
-    def parse(frames):
-        import pandas as pd
-
-        for f in frames:
-            rows = [r | {"file": str(i)} for i, x in zip(f["doc_id"], f["xml"], strict=True) for r in ch.xml_rows(x)]
-            yield pd.DataFrame(rows, columns=ch._COLUMNS).astype({"seq": "Int32", "multi": "boolean", "repealed": "boolean"})
-
-    recs = ch.records(docs.select("doc_id", xml.alias("xml")).mapInPandas(parse, ch.ROWS))
-    lines = F.size(F.split("text", "\n"))
-    return recs.where("problem is null").select(F.col("file").cast("bigint").alias("doc_id"), "citation", "variant", "chapter", F.nullif("act_citation", F.lit("")).alias("act_citation"), "status", lines.alias("n_lines"))
+# --- names of the site -------------------------------------------------------------------------------------
 
 
 @query("SELECT DISTINCT object_name, citation, nullif(variant, '') AS variant, CASE WHEN citation IS NULL THEN act_citation END AS act_citation FROM feed_events WHERE object_name LIKE 'mcl-act-%' OR (citation IS NOT NULL AND variant IS NULL)")
