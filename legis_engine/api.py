@@ -26,7 +26,7 @@ class Service:
         return r.source, r.canonical
 
     def _held(self):
-        d, v = self.store.table("documents"), self.store.table("versions").where("is_current")
+        d, v = self.store.table("documents"), self.store.table("versions", current=True)
         return d.join(v.drop("first_seen"), ["source", "citation", "variant"])
 
     def _range_note(self, source: str, citation: str):
@@ -37,16 +37,17 @@ class Service:
         """One document, now or as observed by a day (removals do not matter then)."""
         source, canon = self._cite(citation)
         key = (F.col("source") == source) & (F.col("citation") == canon)
-        doc = self.store.table("documents").where(key & (F.col("variant") == "")).first()
+        part = self.store.part(source, canon)
+        doc = self.store.table("documents", parts=part).where(key & (F.col("variant") == "")).first()
         if doc is None:
             hit = self._range_note(source, canon)
             raise NotFound(f"{canon} has no text of its own: {hit.note}" if hit else f"{canon} is not in the database")
-        versions = self.store.table("versions").where(key & (F.col("variant") == ""))
+        versions = self.store.table("versions", current=as_of is None, parts=part).where(key & (F.col("variant") == ""))
         out = {"citation": canon, "source": source, "chapter": doc.chapter, "act_citation": doc.act_citation, "act_name": doc.act_name, "in_source_currently": doc.active, "notice": sv.NOTICE}
         if not doc.active:
             out["removed_from_source_at"] = doc.removed_at
-        forms = self.store.table("documents").where(key & (F.col("variant") != "") & F.col("active"))
-        listed = forms.select("source", "citation", "variant", "url").join(self.store.table("versions").where("is_current"), ["source", "citation", "variant"]).orderBy("variant").collect()
+        forms = self.store.table("documents", parts=part).where(key & (F.col("variant") != "") & F.col("active"))
+        listed = forms.select("source", "citation", "variant", "url").join(self.store.table("versions", current=True, parts=part).where(key), ["source", "citation", "variant"]).orderBy("variant").collect()
         if listed:
             out["other_forms"] = [{"variant": r.variant, "effective_date": r.effective_date, "catchline": r.catchline, "text": r.text, "history_note": r.history_note, "compilers_notes": r.compilers_notes,
                                    "source_url": r.url, "caution": "not the ordinary form of this section"} for r in listed]
@@ -73,11 +74,15 @@ class Service:
         return out
 
     def search(self, query: str, source: str | None = None, chapter: str | None = None, include_repealed: bool = False, limit: int | None = None) -> dict:
-        docs = self._held().withColumn("doc_id", F.struct("source", "citation"))
-        hits = se.search(docs.drop("source", "citation").select("*", "doc_id.source", "doc_id.citation"), query, "doc_id", source, chapter, include_repealed, sv.clamp("search", limit)).collect()
-        seen = {r.citation: r.last_seen for r in self.store.table("versions").where("is_current").where(F.col("citation").isin([h.citation for h in hits] or [""])).collect()}
+        ident = F.struct("source", "citation").alias("doc_id")
+        docs = self._held().select("*", ident)
+        index, stats = (self.store.table(t).select("*", ident).drop("source", "citation") for t in ("postings", "doc_stats"))
+        hits = se.search(docs, query, "doc_id", source, chapter, include_repealed, sv.clamp("search", limit), index=index, stats=stats).collect()
+        shown = [h.citation for h in hits]
+        current = self.store.table("versions", current=True).where((F.col("variant") == "") & F.col("citation").isin(shown or [""]))
+        seen = {(r.source, r.citation): r.last_seen for r in current.collect()}
         return {"query": query, "count": len(hits), "notice": sv.NOTICE, "results": [
-            {"citation": r.citation, "source": r.source, "chapter": r.chapter, "catchline": r.catchline, "status": r.status, "snippet": r.snippet, "source_url": r.url, "last_confirmed": seen.get(r.citation)} for r in hits
+            {"citation": r.citation, "source": r.source, "chapter": r.chapter, "catchline": r.catchline, "status": r.status, "snippet": r.snippet, "source_url": r.url, "last_confirmed": seen.get((r.source, r.citation))} for r in hits
         ]}
 
     def get_chapter_outline(self, chapter: str, source: str = "mcl", offset: int = 0, limit: int | None = None) -> dict:
@@ -95,12 +100,18 @@ class Service:
         if direction == "cites":
             if docs.where((F.col("source") == source) & (F.col("citation") == canon)).first() is None:
                 raise NotFound(f"{canon} is not in the database")
-            own = x.where((F.col("source") == source) & (F.col("citation") == canon)).select("seq", "kind", "key", "raw", "in_range")
+            own = self.store.table("xrefs", parts=self.store.part(source, canon)).where((F.col("source") == source) & (F.col("citation") == canon)).select("seq", "kind", "key", "raw", "in_range")
             found = own.join(docs.select(F.col("source").alias("kind"), F.col("citation").alias("key"), "catchline"), ["kind", "key"], "left").orderBy("seq").limit(n).collect()
+            # The ranges of all references that lead nowhere, in one query.
+            lost = sorted({r.key for r in found if r.catchline is None and r.kind == "mcl"})
+            hits = {}
+            if lost:
+                told = sv.range_hits(self.spark.createDataFrame([(k,) for k in lost], "key string"), self.store.table("ranges").where(F.col("active") & (F.col("source") == "mcl")))
+                hits = {h.key: h for h in told.where("start_citation is not null").orderBy(F.desc("start_citation")).collect()}
             refs = []
             for r in found:
                 one = {"kind": r.kind, "citation": r.key, "raw_text": r.raw, "in_range_endpoint": r.in_range, "in_database": r.catchline is not None, "catchline": r.catchline}
-                if r.catchline is None and r.kind == "mcl" and (hit := self._range_note("mcl", r.key)):
+                if r.catchline is None and r.kind == "mcl" and (hit := hits.get(r.key)):
                     one["known_repealed_range"] = {"range": f"{hit.start_citation} - {hit.end_citation}", "status": hit.status, "compilers_line": hit.note, "act_citation": hit.act_citation, "act_name": hit.act_name}
                 refs.append(one)
         elif direction == "cited_by":
@@ -113,7 +124,7 @@ class Service:
     def list_changes(self, since: str, source: str | None = None, change_type: str | None = None, limit: int | None = None) -> dict:
         c = self.store.table("changes").withColumn("document_id", F.struct("source", "citation", "variant"))
         rows = sv.list_changes(c, since, source, change_type, limit)
-        cat = self.store.table("versions").where("is_current").select("source", "citation", "variant", "catchline")
+        cat = self.store.table("versions", current=True).select("source", "citation", "variant", "catchline")
         out = rows.join(cat, ["source", "citation", "variant"], "left").orderBy(F.desc("at"), "document_id").collect()
         first = self.store.runs().where("status = 'ok'").agg(F.min("started_at")).first()[0]
         return {"since": since, "count": len(out), "note": f"changes are as observed; observation began {first}",
@@ -129,5 +140,8 @@ class Service:
         return {"public_act": name, "title": r.title, "effective_date": r.effective_date, "source_url": r.url, "affected_citations": [c.c for c in cites], "notice": sv.NOTICE}
 
     def data_status(self) -> dict:
-        rows = sv.data_status(self.store.table("documents"), self.store.runs()).orderBy("source").collect()
+        runs = self.store.runs()
+        made = self.store.table("versions", current=True).select("source", "citation", "variant", "run_id").join(F.broadcast(runs.select("run_id", F.col("source").alias("crawl"))), "run_id")
+        docs = self.store.table("documents").join(made, ["source", "citation", "variant"]).withColumn("source", F.col("crawl"))
+        rows = sv.data_status(docs, runs).orderBy("source").collect()
         return {"sources": [r.asDict() for r in rows], "notice": sv.NOTICE}

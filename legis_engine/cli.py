@@ -33,7 +33,7 @@ def main(argv: list[str] | None = None) -> int:
     store = Store(build_session(), a.store)
     s = Service(store)
     if a.verb == "init-db":
-        store._point(store.pointer())
+        store.create()
         out = {"store": a.store}
     elif a.verb == "ingest":
         out = store.ingest(get_source(store.spark, a.source, a.path), a.removal_guard)

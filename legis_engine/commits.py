@@ -19,7 +19,8 @@ class CommitLog:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        self._path = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join((self.folder, "_commits", *parts)))
+        self._file = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join((self.folder, *[x for x in parts if x])))
+        self._path = lambda *parts: self._file("_commits", *parts)
         self._fs = self._path().getFileSystem(conf)
         self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
         kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
@@ -60,3 +61,11 @@ class CommitLog:
             raise
         self._fs.delete(self._path(f"{number - 50:012d}.json"), False)  # old commits are history nobody reads
         return True
+
+    def children(self, at: str) -> list[str]:
+        """Names directly in a folder below the log's; none if there is no such folder."""
+        path = self._file(at)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(path)) if self._fs.exists(path) else []
+
+    def remove(self, at: str) -> None:
+        self._fs.delete(self._file(at), True)

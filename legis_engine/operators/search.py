@@ -11,7 +11,8 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stemming import porter, porter_udf
@@ -49,7 +50,8 @@ def fold_text(s: str) -> list[str]:
     """The same tokens of a driver-side string (a query)."""
     low = "".join(ch for ch in unicodedata.normalize("NFC", s) if unicodedata.category(ch) != "Mn").lower()
     low = low.translate(str.maketrans(ACCENTED, BARE))
-    return ["".join(g) for g in re.findall(r"((?:[^\W_])+)", low)]
+    runs = "".join(ch if unicodedata.category(ch)[0] in "LN" or unicodedata.category(ch) == "Co" else " " for ch in low)
+    return [t for t in runs.split(" ") if t]
 
 
 def postings(docs: DataFrame, id_col: str, fields: list[str], stem: bool = True) -> DataFrame:
@@ -207,19 +209,50 @@ def bm25(matched: DataFrame, stats: DataFrame, id_col: str, query: Query) -> Dat
     return d.select(id_col, score.alias("score"))
 
 
-def snippet(text: Column, terms: list[str], width: int = 24) -> Column:
-    """The window of ``width`` words with the most of the (unstemmed) terms, hits in brackets."""
+def snippet(text: Column, query: Query, stem: bool = True, width: int = 24) -> Column:
+    """The window of ``width`` words with the most hits, hits in brackets.
+
+    A word is a hit if one of its tokens has a stem of the query (without stems: is one of its
+    terms). A snippet is made for the few texts that are shown.
+    """
+    terms = sorted({t for p in query.phrases for t in p})
+    if stem:
+        ship(SparkSession.getActiveSession())
+    wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
     ws = F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), " ")
-    is_hit = lambda w: F.arrays_overlap(tokens(w), F.array(*[F.lit(t) for t in terms]))
-    marks = F.transform(ws, lambda w: F.when(is_hit(w), 1).otherwise(0))
-    n = F.size(ws)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (F.get(marks, i) == 1) | (i == 0))
-    scored = F.transform(starts, lambda i: F.struct(F.aggregate(F.slice(marks, i + 1, width), F.lit(0), lambda a, x: a + x).alias("hits"), (-i).alias("neg")))
+    marks = _hit_marks(ws, terms) if stem else F.transform(ws, lambda w: F.arrays_overlap(tokens(w), wanted).cast("int"))
+    marked = F.arrays_zip(ws.alias("w"), marks.alias("m"))
+    # Bound once: windows and brackets look at the same list.
+    return F.element_at(F.transform(F.array(marked), lambda a: _window(a, width)), 1)
+
+
+def _window(marked: Column, width: int) -> Column:
+    n = F.size(marked)
+    at = F.filter(F.transform(marked, lambda x, i: F.when((x["m"] == 1) | (i == 0), i)), lambda i: i.isNotNull())
+    scored = F.transform(at, lambda i: F.struct(F.aggregate(F.slice(marked, i + 1, width), F.lit(0), lambda a, x: a + x["m"]).alias("hits"), (-i).alias("neg")))
     best = -F.array_max(scored)["neg"]
-    shown = F.transform(F.slice(ws, best + 1, width), lambda w: F.when(is_hit(w), F.concat(F.lit("["), w, F.lit("]"))).otherwise(w))
+    shown = F.transform(F.slice(marked, best + 1, width), lambda x: F.when(x["m"] == 1, F.concat(F.lit("["), x["w"], F.lit("]"))).otherwise(x["w"]))
     return F.concat(F.when(best > 0, "… ").otherwise(""), F.array_join(shown, " "), F.when(best + width < n, " …").otherwise(""))
 
 
+def _hit_marks(ws: Column, terms: list[str]) -> Column:
+    """1 for each word with a token of a wanted stem, else 0."""
+
+    @F.pandas_udf("array<int>")
+    def marks(words: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+
+        def hit(w: str) -> int:
+            if w not in known:
+                known[w] = int(any(porter(t) in wanted for t in fold_text(w)))
+            return known[w]
+
+        return words.map(lambda x: [hit(w) for w in x])
+
+    wanted = set(terms)
+    return marks(ws)
+
+
 def normalise_chapter(text: str) -> str:
     """"chapter 750", "chap 767a" and "750" name the same chapter."""
     return re.sub(r"^(chapter|chap)\.?", "", str(text).strip().lower()).strip().upper()
@@ -227,16 +260,21 @@ def normalise_chapter(text: str) -> str:
 
 def search(
     docs: DataFrame, query: str, id_col: str = "doc_id", source: str | None = None, chapter: str | None = None,
-    include_repealed: bool = False, limit: int = 10, stem: bool = True, index: DataFrame | None = None,
+    include_repealed: bool = False, limit: int = 10, stem: bool = True, index: DataFrame | None = None, stats: DataFrame | None = None,
 ) -> DataFrame:
     """Ranked results over ordinary active documents: citation, source, chapter, catchline,
     status, snippet, url, score. ``docs`` has the fields of WEIGHTS and source, chapter, status,
-    active, variant, url. ``limit`` is clamped to 1..50; ties go by id."""
+    active, variant, url. ``limit`` is clamped to 1..50; ties go by id.
+
+    ``index`` and ``stats`` are the stored postings and token counts of those documents; a stored
+    index is read by a filter on its terms. Without them both are made of ``docs``.
+    """
     fields = list(WEIGHTS)
     q = parse_query(query, stem)
     held = docs.where(F.col("active") & (F.coalesce("variant", F.lit("")) == ""))
     idx = index if index is not None else postings(held, id_col, fields, stem)
-    hits = bm25(match(idx, id_col, q), doc_stats(held, id_col, fields), id_col, q)
+    counts = stats if stats is not None else doc_stats(held, id_col, fields)
+    hits = bm25(match(idx, id_col, q), counts, id_col, q)
     meta = held
     if source:
         meta = meta.where(F.col("source") == source.lower())
@@ -244,6 +282,7 @@ def search(
         meta = meta.where(F.col("chapter") == normalise_chapter(chapter))
     if not include_repealed:
         meta = meta.where(F.col("status") == "active")
-    words = sorted({t for p in parse_query(query, False).phrases for t in p})
-    top = hits.join(meta, id_col).orderBy("score", id_col).limit(max(1, min(int(limit), 50)))
-    return top.select(id_col, "citation", "source", "chapter", "catchline", "status", snippet(F.col("text"), words).alias("snippet"), "url", "score")
+    # Ranked without the texts; those are fetched for the at most 50 results.
+    top = hits.join(meta.select(id_col), id_col).orderBy("score", id_col).limit(max(1, min(int(limit), 50)))
+    shown = held.join(F.broadcast(top), id_col).withColumn("snippet", snippet(F.col("text"), q, stem))
+    return shown.select(id_col, "citation", "source", "chapter", "catchline", "status", "snippet", "url", "score").orderBy("score", id_col)

@@ -98,19 +98,17 @@ def cited_by(refs: DataFrame, documents: DataFrame) -> DataFrame:
     return refs.join(live, "from_id")
 
 
-def range_hits(refs: DataFrame, ranges: DataFrame, key_col: str = "key", max_ranges: int = 100_000) -> DataFrame:
-    """References with the ranges they fall in, by natural order of citations.
+def range_hits(refs: DataFrame, ranges: DataFrame, key_col: str = "key") -> DataFrame:
+    """References with the ranges they fall in, by natural order of citations; references in none
+    stay, with null.
 
-    A range may cross chapters, so there is no equality to join on; ranges are few and broadcast.
-    Above ``max_ranges`` both sides are joined on each whole chapter number a range touches.
+    A range may cross chapters: it is spread over the chapter numbers it touches, at most the ten
+    thousand there can be, and joined on them.
     """
-    k = sort_key(F.col(key_col))
-    left = refs.withColumn("_k", k)
+    left = refs.withColumn("_k", sort_key(F.col(key_col)))
     right = ranges.withColumns({"_lo": sort_key(F.col("start_citation")), "_hi": sort_key(F.col("end_citation"))})
     inside = (F.col("_lo") <= F.col("_k")) & (F.col("_k") <= F.col("_hi"))
-    if right.limit(max_ranges + 1).count() <= max_ranges:
-        return left.join(F.broadcast(right), inside, "left").drop("_k", "_lo", "_hi")
-    spread = right.withColumn("_ch", F.explode(F.sequence("_lo.n1", "_hi.n1")))
+    spread = right.where(F.col("_lo.n1") <= F.col("_hi.n1")).withColumn("_ch", F.explode(F.sequence("_lo.n1", "_hi.n1")))
     return left.join(spread, (F.col("_k.n1") == F.col("_ch")) & inside, "left").drop("_k", "_lo", "_hi", "_ch")
 
 
@@ -141,8 +139,12 @@ def public_act(acts: DataFrame, refs: DataFrame, documents: DataFrame) -> DataFr
 
 
 def data_status(documents: DataFrame, states: DataFrame) -> DataFrame:
-    """Per source: counts of active, removed and variant documents, last good and last full run,
-    last status and its error if it failed."""
+    """Per source of runs: counts of active, removed and variant documents, last good and last full
+    run, last status and its error if it failed.
+
+    ``documents.source`` must be the source of the run that made the document's current version: one
+    crawl brings documents of several kinds.
+    """
     docs = documents.groupBy("source").agg(
         F.sum((F.col("active") & (F.col("variant") == "")).cast("bigint")).alias("active_documents"),
         F.sum((~F.col("active") & (F.col("variant") == "")).cast("bigint")).alias("removed_documents"),

@@ -115,14 +115,20 @@ WITH r AS {_RUNS}, o AS (
          arg_max(status, started_at || lpad(CAST(run_id AS VARCHAR), 9, '0')) AS last_run_status,
          arg_max(coalesce(error, chr(0)), started_at || lpad(CAST(run_id AS VARCHAR), 9, '0')) AS err
   FROM r GROUP BY source),
+v AS (SELECT document_id, arg_max(run_id, first_seen || lpad(CAST(version_id AS VARCHAR), 20, '0')) AS run_id FROM versions GROUP BY document_id),
+w AS (SELECT d.active, coalesce(d.variant, '') AS variant, r.source FROM documents d JOIN v ON v.document_id = d.doc_id JOIN r USING (run_id)),
 d AS (SELECT source, sum(CASE WHEN active AND variant = '' THEN 1 ELSE 0 END) AS a, sum(CASE WHEN NOT active AND variant = '' THEN 1 ELSE 0 END) AS x,
-             sum(CASE WHEN active AND variant <> '' THEN 1 ELSE 0 END) AS f FROM documents GROUP BY source)
+             sum(CASE WHEN active AND variant <> '' THEN 1 ELSE 0 END) AS f FROM w GROUP BY source)
 SELECT coalesce(d.source, o.source) AS source, CAST(coalesce(a, 0) AS BIGINT) AS active_documents, CAST(coalesce(x, 0) AS BIGINT) AS removed_documents,
        CAST(coalesce(f, 0) AS BIGINT) AS extra_forms_listed, last_successful_run, source_currency, last_full_crawl, last_run_status,
        CASE WHEN last_run_status = 'failed' THEN nullif(err, chr(0)) END AS last_run_error
 FROM d FULL JOIN o ON d.source = o.source""")
 def data_status(spark, d):
-    return sv.data_status(table(spark, d, "documents"), sv.run_states(table(spark, d, "runs")))
+    """Documents counted under the source of the run that made their latest version."""
+    states = sv.run_states(table(spark, d, "runs"))
+    made = table(spark, d, "versions").groupBy(F.col("document_id").alias("doc_id")).agg(F.max_by("run_id", F.struct("first_seen", "version_id")).alias("run_id"))
+    docs = table(spark, d, "documents").select("doc_id", "active", F.coalesce("variant", F.lit("")).alias("variant"))
+    return sv.data_status(docs.join(made, "doc_id").join(states.select("run_id", "source"), "run_id"), states)
 
 
 # --- citations ----------------------------------------------------------------------------------
@@ -534,6 +540,23 @@ def history_parse(spark, d):
     return e.select("entry_id", "kind", "act_citation", "immediate_effect", "effective_raw")
 
 
+@query(rf"""
+WITH r AS (SELECT DISTINCT entry_id, document_id, trim(regexp_replace(raw, '[\s\x{{A0}}]+', ' ', 'g')) AS x FROM history_entries WHERE raw IS NOT NULL AND document_id IS NOT NULL AND NOT contains(raw, ';')),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY document_id ORDER BY entry_id, x) AS INTEGER) AS seq FROM r WHERE x <> ''),
+m AS (SELECT *, regexp_matches(x, '{_ENTRY}') AS fits, lower(regexp_extract(x, '(?i)^(am|add|rep|comp|sub)\.? ', 1)) AS op, nullif(trim(regexp_extract(x, '(?i)eff\. ?(.+)$', 1)), '') AS eff FROM n)
+SELECT document_id, seq, x AS raw, CASE WHEN NOT fits THEN 'other' ELSE CASE op WHEN '' THEN CASE WHEN seq = 1 THEN 'enacted' ELSE 'other' END WHEN 'am' THEN 'amended' WHEN 'add' THEN 'added' WHEN 'rep' THEN 'repealed' WHEN 'comp' THEN 'compiled' ELSE 'substituted' END END AS kind,
+  CASE WHEN fits THEN regexp_extract(x, '([0-9]{{4}}),', 1) || ' PA ' || CAST(CAST(regexp_extract(x, '(?i)act ([0-9]+)', 1) AS INTEGER) AS VARCHAR) END AS act_citation,
+  CASE WHEN fits AND regexp_matches(eff, '^[A-Za-z]{{3,}}\.? [0-9]{{1,2}}, ?[0-9]{{4}}\.?$') THEN strftime(TRY_CAST(regexp_extract(eff, '([0-9]{{4}})\.?$', 1) || '-' ||
+    CAST((instr('janfebmaraprmayjunjulaugsepoctnovdec', lower(substr(eff, 1, 3))) + 2) // 3 AS VARCHAR) || '-' || regexp_extract(eff, ' ([0-9]{{1,2}}),', 1) AS DATE), '%Y-%m-%d') END AS effective_date
+FROM m""")
+def history_documents(spark, d):
+    """The entries of a document written as one history string and taken apart: order, the first as enacted, dates."""
+    h = table(spark, d, "history_entries").where("raw is not null and document_id is not null and not contains(raw, ';')").select("entry_id", "document_id", "raw").distinct()
+    x = h.withColumn("x", F.trim(F.regexp_replace("raw", r"[\s\x{A0}]+", " "))).where("x <> ''")
+    whole = x.groupBy("document_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("entry_id", "x"))), lambda e: e["x"]), " ;-- ").alias("h"))
+    return whole.select("document_id", F.inline(parse_history(F.col("h")))).select("document_id", "seq", "raw", "kind", "act_citation", "effective_date")
+
+
 @query("SELECT DISTINCT event_id, kind, citation, act_citation, nullif(variant, '') AS variant FROM feed_events")
 def feed_classify(spark, d):
     """Events classified from title and object; the table states the answer beside it."""
@@ -710,12 +733,39 @@ def search_phrase(spark, d):
     return _run(spark, d, '"effective date" shall').select("doc_id")
 
 
-@query(f"SELECT doc_id FROM (SELECT doc_id, source, {_BAG} AS b FROM {_HELD}) WHERE contains(b, ' tribunal ') AND source = 'mcr'")
+@query(f"""WITH m AS ({_bm25_sql("tribunal").replace("round(CAST(", "CAST(").replace("DOUBLE), 6)", "DOUBLE)")})
+SELECT doc_id, citation, source, chapter, round(score, 6) AS score FROM m JOIN documents USING (doc_id) WHERE source = 'mcr' ORDER BY m.score, doc_id LIMIT 50""")
 def search_prefilter(spark, d):
-    return _run(spark, d, "tribunal").join(held_docs(spark, d).where("source = 'mcr'"), "doc_id").select("doc_id")
+    """The ranked search among the court rules only."""
+    return se.search(searchable(spark, d), "tribunal", source="MCR", limit=50, stem=False).select("doc_id", "citation", "source", "chapter", F.round("score", 6).alias("score"))
 
 
-@query()
+# Words of the tables' language with the stems that the query below asks for.
+_EFFECT, _DATE, _TRIBUN = "effect(s|ed|ing|ive|ively|iveness)?", "dat(e|es|ed|ing)", "tribun(al|als|e|es)"
+
+
+def _pairs(tokens: str) -> str:
+    return f"len(list_filter(range(1, len({tokens})), lambda i: regexp_full_match({tokens}[i], '{_EFFECT}') AND regexp_full_match({tokens}[i + 1], '{_DATE}')))"
+
+
+_STEMMED = f"""
+WITH t AS (SELECT doc_id, citation, text, {", ".join(f"{_TOK.format(c=c)} AS k_{f}" for f, c in _FIELDS.items())} FROM {_HELD}),
+f AS (SELECT doc_id, citation, text, len(k_citation) + len(k_catchline) + len(k_text) AS n, 10.0 * {_pairs("k_citation")} + 5.0 * {_pairs("k_catchline")} + 1.0 * {_pairs("k_text")} AS f,
+      len(list_filter(list_concat(k_citation, k_catchline, k_text), lambda x: regexp_full_match(x, '{_TRIBUN}'))) > 0 AS barred FROM t),
+s AS (SELECT count(*) AS docs, avg(n) AS mean, sum(CASE WHEN f > 0 THEN 1 ELSE 0 END) AS df FROM f),
+i AS (SELECT *, CASE WHEN ln((docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((docs - df + 0.5) / (df + 0.5)) END AS idf FROM s),
+r AS (SELECT doc_id, citation, text, CAST(-idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)) AS DOUBLE) AS score FROM f JOIN i ON TRUE WHERE f > 0 AND NOT barred),
+p AS (SELECT * FROM r ORDER BY score, doc_id LIMIT 20),
+w AS (SELECT *, string_split(trim(regexp_replace(coalesce(text, ''), '[\\s\\x0B]+', ' ', 'g')), ' ') AS ws FROM p),
+m AS (SELECT *, list_transform(ws, lambda x: CASE WHEN len(list_filter({_TOK.format(c="x")}, lambda y: regexp_full_match(y, '{_EFFECT}|{_DATE}|{_TRIBUN}'))) > 0 THEN 1 ELSE 0 END) AS k FROM w),
+h AS (SELECT *, list_sum(k[i + 1:i + 24]) AS hits FROM (SELECT *, unnest(range(0, len(ws))) AS i FROM m) WHERE i = 0 OR k[i + 1] = 1),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, i) AS place FROM h)
+SELECT doc_id, citation, round(score, 6) AS score, CASE WHEN i > 0 THEN '… ' ELSE '' END ||
+  array_to_string(list_transform(range(i + 1, least(i + 24, len(ws)) + 1), lambda j: CASE WHEN k[j] = 1 THEN '[' || ws[j] || ']' ELSE ws[j] END), ' ') || CASE WHEN i + 24 < len(ws) THEN ' …' ELSE '' END AS snippet
+FROM b WHERE place = 1"""
+
+
+@query(_STEMMED)
 def search_stemmed(spark, d):
     """The ranked search with stems and snippets as a user calls it."""
     return se.search(searchable(spark, d), '"effective dates" NOT tribunals', limit=20).select("doc_id", "citation", "snippet", F.round("score", 6).alias("score"))
@@ -743,13 +793,14 @@ def json_props(spark, d):
     return table(spark, d, "events").groupBy("event_type", k.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@query("""SELECT c_custkey, o_orderkey, o_orderdate FROM (SELECT c_custkey, o.o_orderkey, o.o_orderdate,
-row_number() OVER (PARTITION BY c_custkey ORDER BY o.o_orderdate DESC, o.o_orderkey DESC) AS rn FROM customer JOIN orders o ON o.o_custkey = c_custkey WHERE o.o_orderdate <= TIMESTAMP '1996-06-30') WHERE rn = 1""")
+@query("""SELECT c_custkey, o_orderkey, o_orderdate, superseded FROM (SELECT c_custkey, o.o_orderkey, o.o_orderdate, o.newest AS superseded,
+row_number() OVER (PARTITION BY c_custkey ORDER BY o.o_orderdate DESC, o.o_orderkey DESC) AS rn FROM customer JOIN
+(SELECT *, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) IS NOT NULL AS newest FROM orders) o ON o.o_custkey = c_custkey WHERE o.o_orderdate < TIMESTAMP '1996-07-01') WHERE rn = 1""")
 def as_of_orders(spark, d):
     """The as-of operator on orders as versions of customers."""
-    o = table(spark, d, "orders").where(F.col("o_orderdate") <= F.lit("1996-06-30").cast("timestamp"))
-    last = o.groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "o_orderdate"), F.struct("o_orderdate", "o_orderkey")).alias("x"))
-    return table(spark, d, "customer").join(last, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "x.o_orderkey", "x.o_orderdate")
+    o = table(spark, d, "orders").withColumn("first_seen", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    last = sv.as_of(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], sv.check_date("1996-06-30"))
+    return table(spark, d, "customer").join(last, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o_orderkey", "o_orderdate", "superseded")
 
 
 @query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n FROM (SELECT DISTINCT event_id, event_type, ts FROM events) GROUP BY 1, 2")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from legis_engine.api import NotFound, Service
 from legis_engine.operators.merge import GuardError, IntegrityError, content_hash
 from legis_engine.sources.loaders import get_source
-from legis_engine.store import Store
+from legis_engine.store import RANGES, Conflict, Store
 
 T1, T2, T3 = "2026-09-20T06:00:00Z", "2026-09-21T06:00:00Z", "2026-09-22T06:00:00Z"
 
@@ -112,6 +112,71 @@ def test_rerun_restore_guard_and_failures(spark, filled, tmp_path):
     assert [(v.version_no, v.is_current) for v in one] == [(1, False), (2, False), (3, True)]
 
 
+def test_a_scoped_run_rewrites_its_own_parts_only(spark, tmp_path):
+    """References and index follow the changed documents; untouched parts keep their folders."""
+    store = Store(spark, str(tmp_path / "db"))
+    store.ingest(crawl(spark, tmp_path / "d1", DAY1), now=T1)
+    before = store.pointer()["tables"]
+    one = crawl(spark, tmp_path / "one", [doc("MCL 257.627a", "Zones near harbors; MCL 750.84 applies.")], complete=False)
+    assert counts(store.ingest(one, now=T2)) == (0, 1, 0, 0)
+    after = store.pointer()["tables"]
+    mine = str(store.part("mcl", "MCL 257.627a")[0])
+    for name in ("documents", "versions", "xrefs", "postings", "doc_stats"):
+        assert {k for k in after[name] if after[name][k] != before[name].get(k)} == {mine}
+    keys = {(r.citation, r.key) for r in store.table("xrefs").collect()}
+    assert ("MCL 257.627a", "MCL 750.84") in keys and ("MCL 257.627a", "MCL 750.999") not in keys and ("MCL 750.84", "MCL 750.83") in keys
+    s = Service(store)
+    assert [r["citation"] for r in s.search("harbor")["results"]] == ["MCL 257.627a"] and s.search("school")["results"] == []
+    assert [r["snippet"] for r in s.search("harbor")["results"]] == ["Zones near [harbors;] MCL 750.84 applies."]
+    plan = store.table("postings").where(F.col("term").isin("harbor"))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term" in plan or "EqualTo(term" in plan
+    stats = {r.citation: r.tokens for r in store.table("doc_stats").collect()}
+    assert len(stats) == 6 and stats["MCL 257.627a"] == 3 + 2 + 7
+    store.ingest(crawl(spark, tmp_path / "gone", [d for d in DAY1 if d["citation"] != "MCL 257.627a"], complete=True), guard=0.5, now=T3)
+    assert s.search("harbor")["results"] == [] and "MCL 257.627a" in {r.citation for r in store.table("xrefs").collect()}
+    assert store.collect_garbage() and s.get_document("MCL 750.84")["text"].startswith("Great harm")
+
+
+def test_two_writers_cannot_both_commit(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "db"))
+    add, once = store.commits.add, []
+
+    def late(n, p):
+        if not once:
+            once.append(n)
+            Store(spark, store.folder).ingest(crawl(spark, tmp_path / "b", DAY1[:1]), now=T1)
+        return add(n, p)
+
+    store.commits.add = late
+    with pytest.raises(Conflict):
+        store.ingest(crawl(spark, tmp_path / "a", DAY1), now=T1)
+    assert [r["status"] for r in store.pointer()["runs"]] == ["ok"] and store.table("documents").count() == 1
+
+
+def test_bad_acts_and_ranges_stop_the_run(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "db"))
+    with pytest.raises(IntegrityError, match="2026 PA 50"):
+        store.ingest(crawl(spark, tmp_path / "a", DAY1, [ACTS[0] | {"affected_citations": ["MCL 1.1", "nothing"]}]), now=T1)
+    good = crawl(spark, tmp_path / "b", DAY1, [ACTS[0], ACTS[0] | {"title": "Second.", "affected_citations": ["mcl 750.83(1)", "750.83"]}])
+    good.ranges = spark.createDataFrame([("mcl", "mcl 1.1", "MCL 1.2", "1", None, None, "n", "repealed")], RANGES.replace(", active boolean, first_seen string", ""))
+    with pytest.raises(IntegrityError, match="mcl 1.1"):
+        store.ingest(good, now=T1)
+    good.ranges = spark.createDataFrame([(i, "mcl", "MCL 1.1", "MCL 1.2", "1", None, None, n, "repealed") for i, n in ((1, "first"), (2, "another"), (0, "z"))], "ordinal int, " + RANGES.replace(", active boolean, first_seen string", ""))
+    store.ingest(good, now=T1)
+    assert [r.note for r in store.table("ranges").collect()] == ["another"]
+    act = store.table("acts").first()
+    assert (act.title, act.affected_citations) == ("Second.", ["MCL 750.83"])
+
+
+def test_status_counts_by_the_crawl_that_made_the_version(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "db"))
+    c = crawl(spark, tmp_path / "a", [*DAY1[:2], doc("Const 1963, art 1, § 2", "Equal.", chapter="1")])
+    c.documents = c.documents.withColumn("source", F.when(F.col("citation").startswith("Const"), "const").otherwise("mcl"))
+    c.kinds = ["mcl", "const"]
+    store.ingest(c, now=T1)
+    assert [(s["source"], s["active_documents"]) for s in Service(store).data_status()["sources"]] == [("mcl", 3)]
+
+
 def test_repeated_key_in_one_run_counts_in_order(spark, tmp_path):
     store = Store(spark, str(tmp_path / "db"))
     r = store.ingest(crawl(spark, tmp_path / "x", [doc("MCL 1.1", "a"), doc("MCL 1.1", "b"), doc("MCL 1.1", "b")]), now=T1)
