@@ -103,6 +103,35 @@ def test_path_over_blocks_costs_what_a_single_pass_costs(spark, seed):
         assert all(r.chosen is None for r in got if r.g == g and not r.cands)
 
 
+@pytest.mark.parametrize(("seed", "batch"), [(4, 3), (5, 7), (6, 10_000)])
+def test_path_over_batches_and_blocks_of_long_orders(spark, seed, batch):
+    """Long orders of mostly certain records, cut into blocks and tiny batches, against one pass over each."""
+    rnd = random.Random(seed)
+    rows, want = [], {}
+    for g, n in {"hot": 150, "b": 40, "c": 1, None: 25}.items():
+        made = [[(rnd.randint(0, 2), rnd.randint(0, 30), rnd.choice([0, 0, 1])) for _ in range(rnd.choice([0, 1, 1, 1, 1, 2, 3]))] for _ in range(n)]
+        told = [c for c in made if c]
+        d = [c[2] * viterbi.BREAK for c in told[0]] if told else [0]
+        for prev, cur in zip(told, told[1:], strict=False):
+            d = [min(d[i] + viterbi.SWITCH * (a[0] != c[0]) + viterbi.BACKWARD * (c[1] < a[1]) for i, a in enumerate(prev)) + c[2] * viterbi.BREAK for c in cur]
+        want[g] = min(d)
+        rows += [(g, i, c) for i, c in enumerate(made)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, i int, cands array<struct<form:int,at:bigint,breaks:int>>")
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = viterbi.choose_path(df, "g", ["i"], "cands").orderBy("g", "i").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert len(got) == len(rows) and all((r.chosen is None) == (not r.cands) for r in got) and all(r.chosen in r.cands for r in got if r.cands)
+    for g in want:
+        path = [r.chosen for r in got if r.g == g and r.chosen]
+        cost = sum(c.breaks for c in path) * viterbi.BREAK + sum(viterbi.SWITCH * (a.form != b.form) + viterbi.BACKWARD * (b.at < a.at) for a, b in zip(path, path[1:], strict=False))
+        assert cost == want[g]
+
+
 def test_ambiguous_dates_follow_their_neighbours(spark):
     """Without stated conventions the order decides: 3/4 between 2 April and 5 April is 3 April."""
     day = lambda m, d: int(datetime(2024, m, d).timestamp())
