@@ -83,8 +83,8 @@ def _month(token: Column) -> Column:
 
 
 @functools.lru_cache(maxsize=1)
-def _zone_ids() -> str:
-    jvm = SparkSession.getActiveSession()._jvm
+def _zone_ids(spark: SparkSession) -> str:
+    jvm = spark._jvm
     return str(jvm.java.lang.String.join(",", jvm.java.time.ZoneId.getAvailableZoneIds()))
 
 
@@ -93,7 +93,7 @@ def with_zone(df: DataFrame, text: Column, out: str) -> DataFrame:
 
     Joined to the list of all such names: some 600 rows whatever the data, so it is broadcast.
     """
-    names = df.sparkSession.range(1, numPartitions=1).select(F.explode(F.split(F.lit(_zone_ids()), ",")).alias(out))
+    names = df.sparkSession.range(1, numPartitions=1).select(F.explode(F.split(F.lit(_zone_ids(df.sparkSession)), ",")).alias(out))
     names = names.groupBy(F.upper(out).alias("_zk")).agg(F.min(out).alias(out))
     return df.join(F.broadcast(names), F.upper(F.trim(text)) == F.col("_zk"), "left").drop("_zk")
 

@@ -15,8 +15,9 @@ from ..functions.citations import collapse
 from ..operators import feed as fd
 from ..operators.manifest import listing_entries
 from ..operators.merge import IntegrityError
-from ..session import materialize
+from ..session import materialize, shared_dir
 from . import chapters as ch
+from .landing import Client, files_for, land_html, land_xml
 
 
 @dataclass
@@ -56,12 +57,13 @@ def json_fixture(spark: SparkSession, path: str) -> Crawl:
     return Crawl(head.source, docs, acts=acts, complete=head.complete, kinds=[head.source])
 
 
-def chapter_folder(spark: SparkSession, path: str, kind: str, wanted: list[str] | None = None, base_url: str = "") -> Crawl:
-    """Whole-chapter files of a folder. ``wanted`` keeps the files that cover one of the chapters.
+def chapter_folder(spark: SparkSession, path: str | list[str], kind: str, wanted: list[str] | None = None, base_url: str = "") -> Crawl:
+    """Whole-chapter files of a folder (or those named). ``wanted`` keeps the files that cover one of
+    the chapters; XML files that their head shows to hold another one are not parsed at all.
 
     The parse is written once and everything is derived from it; any problem stops the crawl.
     """
-    rows = ch.parse_files(spark, path, kind)
+    rows = ch.parse_files(spark, path, kind, wanted)
     if wanted is not None:
         names = [c.upper() for c in wanted]
         own = F.upper(F.coalesce(F.regexp_extract("number", r"^([0-9]{1,3}[A-Za-z]?)\.", 1), F.lit("")))
@@ -88,19 +90,41 @@ def chapter_folder(spark: SparkSession, path: str, kind: str, wanted: list[str]
     return Crawl("mcl", docs, spans, chapters=covered, kinds=["mcl", "const"], currency=stamp.currency if stamp else None)
 
 
+def chapter_site(spark: SparkSession, chapters: str | None, kind: str, site: str = "", client: Client | None = None, landing: str | None = None, base_url: str = "") -> Crawl:
+    """Whole chapters from the site, fetched into ``landing`` first: one polite client, one file at a
+    time. ``chapters`` is a list ("37 38" or "37,38"), all if empty. ``site`` is its address."""
+    if not site:
+        raise ValueError("a web source needs the address of the site")
+    names = [c for c in re.split(r"[\s,]+", chapters or "") if c] or None
+    folder = landing or os.path.join(shared_dir(spark).removeprefix("file://").removeprefix("file:"), "landing", kind)
+    if client is None:
+        raise ValueError("a web source needs a client that says who crawls")
+    if kind == "xml":
+        got = land_xml(client, f"{site}/documents/mcl/", folder, names)
+        files = [*got["fetched"], *got["unchanged"]]
+        wanted = files_for(names)[1] if names else None
+    else:
+        files = [f"chapter-{c}.html" for c in land_html(client, site, folder, names)]
+        wanted = None
+    if not files:
+        raise FileNotFoundError(f"the site lists none of the chapters {chapters}")
+    return chapter_folder(spark, [os.path.join(folder, f) for f in sorted(files)], kind, wanted, base_url)
+
+
 SOURCES: dict[str, Callable[..., Crawl]] = {
     "fixture": json_fixture,
     "mcl-files": lambda spark, path, **kw: chapter_folder(spark, path, "html", **kw),
+    "mcl-web": lambda spark, path, **kw: chapter_site(spark, path, "html", **kw),
     "mcl-xml-files": lambda spark, path, **kw: chapter_folder(spark, path, "xml", **kw),
+    "mcl-xml-web": lambda spark, path, **kw: chapter_site(spark, path, "xml", **kw),
 }
 
 
-def get_source(spark: SparkSession, kind: str, path: str, **options) -> Crawl:
-    """A crawl by the kind of its source. Web crawls are fetched by a polite single-threaded
-    client into a folder first; the engine reads folders."""
+def get_source(spark: SparkSession, kind: str, path: str | None, **options) -> Crawl:
+    """A crawl by the kind of its source; web kinds take a list of chapters, or none, as their path."""
     if kind not in SOURCES:
         raise ValueError(f"unknown source {kind!r}; known: {', '.join(SOURCES)}")
-    if not path:
+    if not path and not kind.endswith("-web"):
         raise ValueError(f"source {kind!r} needs a path")
     return SOURCES[kind](spark, path, **options)
 

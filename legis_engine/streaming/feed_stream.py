@@ -7,7 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..commits import CommitLog
 from ..session import shared_dir
 
 
@@ -27,7 +29,7 @@ def run_once(stream: DataFrame, name: str, mode: str) -> DataFrame:
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{base}/ckpt").outputMode("append")
     else:
-        # A complete result replaces the one before: the path depends on the epoch, so a retry is absorbed.
+        # A complete result replaces the one before, so a repeated batch leaves what the first left.
         q = stream.writeStream.foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", f"{base}/ckpt").outputMode(mode)
     q.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
@@ -42,13 +44,20 @@ def stream_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def log_feed(stream: DataFrame, folder: str, checkpoint: str):
-    """Feed events appended once: each batch drops what the log has and replaces its own output."""
+    """Feed events appended once: each batch drops what the log has and replaces its own output.
+
+    Of the log only builds in the batch's span of build times are read: ``feed_built_at`` is part of
+    an event's key, so no other can repeat one.
+    """
     from ..operators.feed import record
 
     def write(df: DataFrame, epoch: int) -> None:
         spark = df.sparkSession
-        done = [p for p in (f"{folder}/{n}" for n in sorted(os.listdir(folder))) if not p.endswith(f"batch={epoch:08d}")] if os.path.isdir(folder) else []
-        log = spark.read.schema(df.schema).parquet(*done) if done else spark.createDataFrame([], df.schema)
-        record(log, df).write.mode("overwrite").parquet(f"{folder}/batch={epoch:08d}")
+        log = spark.createDataFrame([], df.schema)
+        if CommitLog(spark, folder).children(""):
+            held = spark.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(folder).where(F.col("batch") != epoch).drop("batch")
+            span = df.agg(F.min("feed_built_at").alias("a"), F.max("feed_built_at").alias("b")).first()
+            log = held.where(F.col("feed_built_at").between(span.a, span.b) | F.col("feed_built_at").isNull()) if span.a is not None else held.where("feed_built_at is null")
+        record(log, df).write.mode("overwrite").parquet(f"{folder}/batch={epoch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
