@@ -88,24 +88,32 @@ def section_chains(text: Column) -> Column:
     return _all(F.coalesce(text, F.lit("")), _MCL_CHAIN, 1)
 
 
-def references_in(text: Column) -> Column:
-    """All references of a text in the order they are emitted, repeats included; null text: none."""
+KINDS = ("mcl", "public_act", "mcr", "mre", "const")
+
+
+def references_in(text: Column, kinds: tuple[str, ...] = KINDS) -> Column:
+    """All references of a text in the order they are emitted, repeats included; null text: none.
+
+    Only the scans of the wanted ``kinds`` are made.
+    """
     t = F.coalesce(text, F.lit(""))
-    return F.concat(
-        _chain_refs(section_chains(text)), _chain_refs(_all(t, _BEING_CHAIN, 1)),
-        _pair_refs(t, _ACT_A, 1, 2), _pair_refs(t, _ACT_B, 2, 1),
-        _rule_refs(t, _MCR, "mcr", mcr_key), _rule_refs(t, _MRE, "mre", lambda n: F.concat(F.lit("MRE "), n)), _const_refs(t),
-    ).cast(REF)
+    scans = {
+        "mcl": lambda: [_chain_refs(section_chains(text)), _chain_refs(_all(t, _BEING_CHAIN, 1))],
+        "public_act": lambda: [_pair_refs(t, _ACT_A, 1, 2), _pair_refs(t, _ACT_B, 2, 1)],
+        "mcr": lambda: [_rule_refs(t, _MCR, "mcr", mcr_key)], "mre": lambda: [_rule_refs(t, _MRE, "mre", lambda n: F.concat(F.lit("MRE "), n))],
+        "const": lambda: [_const_refs(t)],
+    }
+    return F.concat(*[c for k in KINDS if k in kinds for c in scans[k]()]).cast(REF)
 
 
-def extract_xrefs(df: DataFrame, id_col: str, text_col: str, self_col: str | None = None) -> DataFrame:
+def extract_xrefs(df: DataFrame, id_col: str, text_col: str, self_col: str | None = None, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """``id_col, seq, kind, key, raw, in_range``: distinct references of each row's text.
 
     Of references with equal kind, key and raw text the first counts. References to ``self_col``
     are dropped. Long documents stay whole; the reduction is per document and map-side first.
     """
     keep = [id_col, *([self_col] if self_col else [])]
-    flat = df.select(*keep, F.posexplode(references_in(F.col(text_col))).alias("_pos", "_r")).select(*keep, "_pos", "_r.*")
+    flat = df.select(*keep, F.posexplode(references_in(F.col(text_col), kinds)).alias("_pos", "_r")).select(*keep, "_pos", "_r.*")
     if self_col:
         flat = flat.where(F.col(self_col).isNull() | (F.col("key") != F.col(self_col)))
     return flat.groupBy(id_col, "kind", "key", "raw").agg(

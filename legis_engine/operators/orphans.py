@@ -224,11 +224,12 @@ def replay(refs: DataFrame, events: DataFrame, months: int = 12) -> OrphanState:
     a hundred hot keys are looked at outside.
     """
     spark = refs.sparkSession
-    ordinal = lambda t: F.floor((F.substring(iso_date(t), 1, 4).cast("int") * 12 + F.substring(iso_date(t), 6, 2).cast("int") - 1) / months).cast("int")
     last, first = F.lit(1 << 30), F.lit(-1)
+    day = lambda t: F.timestamp_add("SECOND", t, F.expr("timestamp_ntz'1970-01-01 00:00:00'"))
+    ordinal = lambda t: F.coalesce(F.floor((F.year(day(t)) * 12 + F.month(day(t)) - 1) / months).cast("int"), last)
     state = OrphanState.empty(spark)
     at = f"{state.folder}/backlog"
-    placed = refs.withColumn("batch", F.coalesce(ordinal(F.col("found")), last))
+    placed = refs.withColumn("batch", ordinal(F.col("found")))
     placed.write.partitionBy("batch").parquet(at)
     laid = spark.read.schema(placed.schema).parquet(at)
     dated = materialize(events.withColumn("batch", F.when(F.col("t") == ALWAYS, first).otherwise(ordinal(F.col("t")))), "parent_events")

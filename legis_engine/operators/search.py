@@ -58,11 +58,14 @@ def postings(docs: DataFrame, id_col: str, fields: list[str], stem: bool = True)
     """``term, id, field, positions``. Stems are made of the distinct terms only."""
     rows = docs.select(id_col, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in fields])).alias("f"))
     flat = rows.select(id_col, "f.field", F.posexplode("f.t").alias("pos", "term"))
-    if stem:
-        ship(docs.sparkSession)
-        stems = flat.select("term").distinct().withColumn("stem", porter_udf("term"))
-        flat = flat.join(stems, "term").select(id_col, "field", "pos", F.col("stem").alias("term"))
-    return flat.groupBy("term", id_col, "field").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    # A document's occurrences of a word lie together, so they are one row before anything travels.
+    per = flat.groupBy("term", id_col, "field").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    if not stem:
+        return per
+    ship(docs.sparkSession)
+    stems = flat.select("term").distinct().withColumn("stem", porter_udf("term"))
+    named = per.join(stems, "term").groupBy(F.col("stem").alias("term"), id_col, "field")
+    return named.agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
 def doc_stats(docs: DataFrame, id_col: str, fields: list[str]) -> DataFrame:

@@ -65,10 +65,20 @@ def provenance(states: DataFrame) -> DataFrame:
 
 
 def outline(documents: DataFrame) -> DataFrame:
-    """Active ordinary sections with their place in their chapter's natural order."""
+    """Active ordinary sections with their place in their chapter's natural order.
+
+    A chapter is ranked in stretches of a hundred section numbers, which bounds every window group;
+    the stretches' sizes give what comes before each.
+    """
     d = documents.where(F.col("active") & (F.coalesce("variant", F.lit("")) == "")).withColumn("_k", sort_key(F.col("citation")))
-    w = Window.partitionBy("source", "chapter").orderBy("_k", "citation")
-    return d.withColumn("place", F.row_number().over(w)).drop("_k")
+    d = d.withColumn("_s", F.struct("_k.n1", "_k.l1", F.floor(F.col("_k.n2") / 100).alias("n2")))
+    group = ["source", "chapter"]
+    inner = d.withColumn("_in", F.row_number().over(Window.partitionBy(*group, "_s").orderBy("_k", "citation")))
+    before = Window.partitionBy(*group).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = d.groupBy(*group, "_s").count()
+    offsets = sizes.select(*[F.col(c).alias(f"_g_{c}") for c in (*group, "_s")], F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    same = F.col("source").eqNullSafe(F.col("_g_source")) & F.col("chapter").eqNullSafe(F.col("_g_chapter")) & F.col("_s").eqNullSafe(F.col("_g__s"))
+    return inner.join(offsets, same).withColumn("place", F.col("_before") + F.col("_in")).drop("_k", "_s", "_in", "_before", "_g_source", "_g_chapter", "_g__s")
 
 
 def outline_page(documents: DataFrame, chapter: str, source: str = "mcl", offset: int = 0, limit: int | None = None) -> DataFrame:
@@ -125,17 +135,11 @@ def list_changes(changes: DataFrame, since: str, source: str | None = None, chan
 
 
 def public_act(acts: DataFrame, refs: DataFrame, documents: DataFrame) -> DataFrame:
-    """Each act with the sections that name it, in natural order, as one joined string."""
-    targets = refs.join(documents.select(F.col("doc_id").alias("from_id"), "citation"), "from_id").select("key", "citation").distinct()
-    # Per act its distinct citing sections; an act is cited by at most the documents there are.
-    listed = targets.withColumn("_k", sort_key(F.col("citation"))).groupBy("key").agg(
-        F.count(F.lit(1)).alias("n_sections"), F.sort_array(F.collect_list(F.struct("_k", "citation"))).alias("_s")
-    )
+    """Each act with the sections that name it, one row per section; an act that none names has one
+    row without a section. An act half the corpus cites is as many rows, never one list."""
     one = acts.groupBy("act_citation").agg(F.min("title").alias("title"), F.min("effective_date").alias("effective_date"))
-    return one.join(listed, F.col("act_citation") == F.col("key"), "left").select(
-        "act_citation", "title", "effective_date", F.coalesce("n_sections", F.lit(0)).alias("n_sections"),
-        F.array_join(F.transform("_s", lambda s: s["citation"]), "; ").alias("sections"),
-    )
+    targets = refs.join(documents.select(F.col("doc_id").alias("from_id"), "citation"), "from_id").select(F.col("key").alias("act_citation"), "citation").distinct()
+    return one.join(targets, "act_citation", "left").select("act_citation", "title", "effective_date", "citation")
 
 
 def data_status(documents: DataFrame, states: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ while the SQL computes the answer from the numbers.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,7 +24,7 @@ from ..operators import service as sv
 from ..operators.bills import with_targets
 from ..operators import merge as mg
 from ..operators.merge import content_hash
-from ..session import reliable
+from ..session import materialize, reliable, shared_dir
 from .data_queries import _cite, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +41,14 @@ def query(sql: str | None = None):
     return add
 
 
+_TOK = "regexp_extract_all(translate(lower(regexp_replace(coalesce({c}, ''), '\\p{{Mn}}+', '', 'g')), '" + se.ACCENTED + "', '" + se.BARE + "'), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')"
+
+
+def _tokens_sql(column: str) -> str:
+    """SQL giving the tokens of a column."""
+    return _TOK.format(c=column)
+
+
 def big(c: Column) -> Column:
     return c.cast("bigint")
 
@@ -219,7 +228,7 @@ SELECT doc_id, kind, key, count(*) AS n FROM (
 GROUP BY doc_id, kind, key""")
 def xref_documents(spark, d):
     """Acts and court rules cited in the texts themselves."""
-    refs = extract_xrefs(table(spark, d, "documents"), "doc_id", "text").where(F.col("kind").isin("public_act", "mcr", "mre"))
+    refs = extract_xrefs(table(spark, d, "documents"), "doc_id", "text", kinds=("public_act", "mcr", "mre"))
     return refs.groupBy("doc_id", "kind", "key").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -308,10 +317,9 @@ def xref_range_resolution(spark, d):
     return sv.range_hits(keys, removed_ranges(spark, d)).select("key", "n_refs", "chapter")
 
 
-@query(f"""SELECT a.act_citation, a.title, a.effective_date, CAST(count(s.citation) AS BIGINT) AS n_sections, nullif(coalesce(string_agg(s.citation, '; ' ORDER BY n1, l1, n2, l2, s.citation), ''), '') AS sections
+@query(f"""SELECT a.act_citation, a.title, a.effective_date, s.citation
 FROM (SELECT act_citation, min(title) AS title, min(effective_date) AS effective_date FROM public_acts GROUP BY act_citation) a
-LEFT JOIN (SELECT DISTINCT x.key, d.citation, d.source, {_KEY} FROM {_X} x JOIN documents d ON d.doc_id = x.from_id WHERE x.kind = 'publicact') s ON s.key = a.act_citation
-GROUP BY a.act_citation, a.title, a.effective_date""")
+LEFT JOIN (SELECT DISTINCT x.key, d.citation FROM {_X} x JOIN documents d ON d.doc_id = x.from_id WHERE x.kind = 'publicact') s ON s.key = a.act_citation""")
 def public_act_targets(spark, d):
     return sv.public_act(table(spark, d, "public_acts"), refs_once(spark, d).where("kind = 'publicact'"), table(spark, d, "documents"))
 
@@ -488,6 +496,34 @@ def merge_scope(spark, d):
     )
 
 
+@query(f"""WITH t AS (SELECT *, source = 'mcl' AND coalesce(TRY_CAST(regexp_extract(chapter, '^[0-9]+') AS INTEGER) % 2 = 0, FALSE) AS scoped, coalesce(variant, '') AS v FROM documents),
+u AS (SELECT *, scoped AND doc_id % 5 = 0 AS gone, CASE WHEN scoped AND doc_id % 5 = 1 THEN coalesce(text, '') || ' Amended "so".' ELSE text END AS now FROM t)
+SELECT source, citation, v AS variant, CASE WHEN gone THEN 'removed' WHEN scoped AND doc_id % 5 = 1 THEN 'modified' END AS second_run,
+CASE WHEN v = '' AND NOT gone THEN CAST(len({_tokens_sql("citation")}) + len({_tokens_sql("act_name")}) + len({_tokens_sql("now")}) AS BIGINT) END AS indexed_tokens,
+CASE WHEN v = '' THEN (SELECT count(DISTINCT r) FROM (SELECT unnest(regexp_extract_all(now, '\\bMRE\\s+[0-9]{{3,4}}')) AS r) WHERE regexp_replace(r, '\\s+', ' ') <> citation) ELSE 0 END AS rule_references FROM u""")
+def store_runs(spark, d):
+    """Two runs of the store, all documents and then a crawl of the even chapters: what its change log, its search
+    index and its references say of every document."""
+    from ..sources.loaders import Crawl
+    from ..store import Store
+
+    store = Store(spark, f"{shared_dir(spark).rstrip('/')}/stores/{uuid.uuid4().hex}")
+    rows = crawled(spark, d)
+    store.ingest(Crawl("all", rows.drop("doc_id"), kinds=ALL_KINDS), now="2026-01-01T00:00:00Z")
+    even = F.coalesce(F.regexp_extract("chapter", "^[0-9]+", 0).try_cast("int") % 2 == 0, F.lit(False)) & (F.col("source") == "mcl")
+    scope = [r.chapter for r in rows.where(even).select("chapter").distinct().collect()]
+    again = rows.where(even & (F.col("doc_id") % 5 != 0)).withColumn("text", F.when(F.col("doc_id") % 5 == 1, F.concat(F.coalesce("text", F.lit("")), F.lit(' Amended "so".'))).otherwise(F.col("text")))
+    store.ingest(Crawl("mcl", again.drop("doc_id"), kinds=["mcl"], chapters=scope), guard=0.5, now="2026-01-02T00:00:00Z")
+    key = ["source", "citation"]
+    changes = store.table("changes").where("run_id = 2").select(*mg.KEY, F.col("change_type").alias("second_run"))
+    stats = store.table("doc_stats").select(*key, F.lit("").alias("variant"), F.col("tokens").alias("indexed_tokens"))
+    refs = store.table("xrefs").where("kind = 'mre'").groupBy(*key).agg(F.countDistinct("raw").alias("n")).select(*key, F.lit("").alias("variant"), "n")
+    docs = store.table("documents").select(*mg.KEY)
+    return docs.join(changes, mg.KEY, "left").join(stats, mg.KEY, "left").join(refs, mg.KEY, "left").select(
+        *mg.KEY, "second_run", "indexed_tokens", F.coalesce("n", F.lit(0)).alias("rule_references")
+    )
+
+
 @query("""WITH k AS (SELECT unnest([7, 8, 9, 10]) AS k), n AS (SELECT CAST(count(*) AS BIGINT) AS held FROM documents),
 s AS (SELECT k, CAST(count(*) FILTER (WHERE doc_id % 10 < k) AS BIGINT) AS seen FROM documents, k GROUP BY k)
 SELECT k, seen, held, seen < 0.85 * held AS refused, CASE WHEN seen < 0.85 * held THEN 0 ELSE held - seen END AS docs_removed FROM s, n""")
@@ -669,7 +705,6 @@ def bill_spans(spark, d):
 
 # --- search -----------------------------------------------------------------------------------------
 
-_TOK = "regexp_extract_all(translate(lower(regexp_replace(coalesce({c}, ''), '\\p{{Mn}}+', '', 'g')), '" + se.ACCENTED + "', '" + se.BARE + "'), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')"
 _FIELDS = {"citation": "citation", "catchline": "act_name", "text": "text"}
 
 
@@ -708,10 +743,25 @@ i AS (SELECT *, CASE WHEN ln((docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE
 SELECT doc_id, round(CAST(-idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean)) AS DOUBLE), 6) AS score FROM f JOIN i ON TRUE WHERE f > 0"""
 
 
+_STORED: dict[tuple[str, str, bool], tuple[DataFrame, DataFrame]] = {}
+
+
+def stored_index(spark: SparkSession, d: str, stem: bool) -> tuple[DataFrame, DataFrame]:
+    """Postings sorted by term and token counts of the documents in ``d``, written once per session, as
+    the store keeps them per commit: a search reads the row groups of its terms only."""
+    at = (spark.sparkContext.applicationId, d, stem)
+    if at not in _STORED:
+        docs = held_docs(spark, d)
+        p = se.postings(docs, "doc_id", list(_FIELDS), stem)
+        ordered = p.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
+        _STORED[at] = materialize(ordered, "postings"), materialize(se.doc_stats(docs, "doc_id", list(_FIELDS)), "doc_stats")
+    return _STORED[at]
+
+
 def _run(spark: SparkSession, d: str, text: str) -> DataFrame:
-    docs = held_docs(spark, d)
     q = se.parse_query(text, stem=False)
-    return se.bm25(se.match(se.postings(docs, "doc_id", list(_FIELDS), stem=False), "doc_id", q), se.doc_stats(docs, "doc_id", list(_FIELDS)), "doc_id", q)
+    index, stats = stored_index(spark, d, stem=False)
+    return se.bm25(se.match(index, "doc_id", q), stats, "doc_id", q)
 
 
 @query(_bm25_sql("tribunal"))
@@ -737,7 +787,8 @@ def search_phrase(spark, d):
 SELECT doc_id, citation, source, chapter, round(score, 6) AS score FROM m JOIN documents USING (doc_id) WHERE source = 'mcr' ORDER BY m.score, doc_id LIMIT 50""")
 def search_prefilter(spark, d):
     """The ranked search among the court rules only."""
-    return se.search(searchable(spark, d), "tribunal", source="MCR", limit=50, stem=False).select("doc_id", "citation", "source", "chapter", F.round("score", 6).alias("score"))
+    index, stats = stored_index(spark, d, stem=False)
+    return se.search(searchable(spark, d), "tribunal", source="MCR", limit=50, stem=False, index=index, stats=stats).select("doc_id", "citation", "source", "chapter", F.round("score", 6).alias("score"))
 
 
 # Words of the tables' language with the stems that the query below asks for.
@@ -768,7 +819,8 @@ FROM b WHERE place = 1"""
 @query(_STEMMED)
 def search_stemmed(spark, d):
     """The ranked search with stems and snippets as a user calls it."""
-    return se.search(searchable(spark, d), '"effective dates" NOT tribunals', limit=20).select("doc_id", "citation", "snippet", F.round("score", 6).alias("score"))
+    index, stats = stored_index(spark, d, stem=True)
+    return se.search(searchable(spark, d), '"effective dates" NOT tribunals', limit=20, index=index, stats=stats).select("doc_id", "citation", "snippet", F.round("score", 6).alias("score"))
 
 
 # --- names of the site -------------------------------------------------------------------------------------

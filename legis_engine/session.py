@@ -1,7 +1,7 @@
 """Session helper and the two ways this library cuts lineage.
 
 Both write to the shared folder that the session names in ``spark.checkpoint.dir``; a local
-folder is set only where the session names none (tests, single-machine use).
+folder is set only where a local session names none (tests, single-machine use).
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 def build_session(app: str = "legis_engine", cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
-    tmp = tempfile.mkdtemp(prefix="legis_")
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -28,13 +27,13 @@ def build_session(app: str = "legis_engine", cores: int | str = "*", partitions:
         .config("spark.driver.memory", os.environ.get("LEGIS_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.checkpoint.dir", os.path.join(tmp, "checkpoint"))
         .getOrCreate()
     )
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; sets a temporary one only where none is configured."""
+    """The session's checkpoint folder. Where none is configured a local session gets a temporary
+    one; on a cluster that would be another folder on every machine, so there it is an error."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc.getCheckpointDir()
@@ -43,11 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if current is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="legis_ckpt_"))
         current = sc.getCheckpointDir()
     return current
 
 
+def clear_tables(spark: SparkSession) -> None:
+    """Removes the intermediate tables of this session's shared folder, once nothing reads them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/tables")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def reliable(df: DataFrame) -> DataFrame:
     """``df`` cut off from its lineage by a replicated checkpoint (never a local one)."""
     shared_dir(df.sparkSession)
