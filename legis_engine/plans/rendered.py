@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions.citations import collapse
 from ..operators.manifest import listing_entries
-from ..session import shared_dir, ship
+from ..operators import merge as mg
+from ..session import reliable, shared_dir, ship
 from ..sources import chapters as ch
 from ..sources import pages as pg
 from ..sources.loaders import rss_items
-from .catalog import _SPACES, query, roman, table
+from ..store import ACTS, RANGES
+from .catalog import _KEY, _SPACES, query, removed_ranges, roman, table
+from .data_queries import _cite
 
 SITE = "https://site.example/"
 # Signs that no XML document can hold.
@@ -247,3 +250,138 @@ def feed_rss(spark, d):
     return rss_items(spark, at).select(event, "raw_title", "object_name", "feed_built_at", "published", "kind", "citation", "act_citation", "variant", "catchline_hint", "status_hint")
 
 
+
+
+# --- spans, faults, stamps ------------------------------------------------------------------------------
+
+
+@query("""WITH d AS (SELECT *, substr(citation, 5) AS n, regexp_extract(citation, '^MCL ([0-9]+[A-Z]?)', 1) AS ch FROM documents WHERE source = 'mcl' AND coalesce(variant, '') = '')
+SELECT doc_id, 'MCL ' || ch || '.1' AS start_citation, CASE WHEN doc_id % 2 = 0 THEN 'MCL ' || ch || '.9a' ELSE 'MCL ' || ch || '.1' END AS end_citation, act_citation,
+CASE doc_id % 3 WHEN 0 THEN 'repealed' WHEN 1 THEN 'rejected' ELSE 'reserved' END AS status, ch || '.1' || CASE WHEN doc_id % 2 = 0 THEN '-' || ch || '.9A' ELSE '' END || CASE doc_id % 3 WHEN 0 THEN ' Repealed. 1940, Act 1.' WHEN 1 THEN ' Rejected by voters.' ELSE ' Reserved' END AS note FROM d
+UNION ALL SELECT doc_id, 'MCL ' || ch || '.9x', 'MCL ' || ch || '.9x', act_citation, 'active', 'Compiled with ' || citation || ' (About it.)' FROM d WHERE n <> ch || '.9x'
+UNION ALL SELECT doc_id, 'MCL ' || ch || '.7', 'MCL ' || ch || '.8', act_citation, 'expired', 'Former MCL ' || ch || '.7 to ' || ch || '.8, which pertained to fees, expired pursuant to its own terms' FROM d
+UNION ALL SELECT doc_id, 'MCL ' || ch || '.3', 'MCL ' || ch || '.5', act_citation, 'repealed', 'being sections ' || ch || '.3, ' || ch || '.4 and ' || ch || '.5 of the Michigan Compiled Laws, are hereby repealed' FROM d""")
+def chapter_ranges(spark, d):
+    """Spans without live text that chapter files declare: stub lines, further numbers of a section, repeals in prose
+    and announcements in notes."""
+    docs = mcl_docs(spark, d).where("source = 'mcl' and v = ''").withColumn("c", F.regexp_extract("citation", "^MCL ([0-9]+[A-Z]?)", 1))
+    c, i = F.col("c"), F.col("doc_id")
+    stub = F.concat(
+        c, F.lit(".1"), F.when(i % 2 == 0, F.concat(F.lit("-"), c, F.lit(".9A"))).otherwise(""), F.when(i % 3 == 0, " Repealed. 1940, Act 1.").when(i % 3 == 1, " Rejected by voters.").otherwise(" Reserved")
+    )
+    told = F.concat(F.lit("Act 1, being sections "), c, F.lit(".3, "), c, F.lit(".4 and "), c, F.lit(".5 of the Michigan Compiled Laws, are hereby repealed."))
+    note = F.concat(F.lit("Former MCL "), c, F.lit(".7 to "), c, F.lit(".8, which pertained to fees, expired pursuant to its own terms."))
+    sec = tag(
+        "MCLSectionInfo", tag("MCLNumber", F.col("number")), tag("SectRef", F.col("number"), F.lit(", "), c, F.lit(".9x")), tag("CatchLine", F.lit("About it.")), tag("Repealed", F.lit("false")),
+        tag("EditorsNotes", tag("EditorsNoteInfo", F.lit("<Type>Compiler</Type>"), tag("Text", note))), tag("BodyText", esc(tag("P", told))),
+    )
+    inner = lambda x: tag("MCLDocumentInfoCollection", x)
+    statute = tag("MCLStatuteInfo", tag("Name", F.col("label")), tag("LongTitle", stub), inner(sec))
+    page = tag("MCLChapterInfo", F.lit("<Name>1</Name><MultiChapter>true</MultiChapter>"), inner(statute))
+    rows = _parsed(docs.withColumn("page", page), ch.xml_rows)
+    r = ch.ranges(rows, ch.records(rows, SITE))
+    file = F.coalesce("ordinal.file", F.lit(""))
+    return r.select(file.cast("bigint").alias("doc_id"), "start_citation", "end_citation", F.nullif("act_citation", F.lit("")).alias("act_citation"), "status", "note")
+
+
+@query("""WITH d AS (SELECT *, regexp_extract(citation, '^MCL ([0-9]+[A-Z]?)', 1) AS ch FROM documents WHERE source = 'mcl' AND coalesce(variant, '') = '')
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN citation || ' stands in chapter 999' WHEN 1 THEN citation || ': repealed flag disagrees with its catchline' WHEN 2 THEN 'section number not recognised: §' || ch
+WHEN 3 THEN 'duplicate section ' || citation || ' ' WHEN 4 THEN 'cannot be parsed: no chapter name' END AS problem FROM d WHERE doc_id % 6 < 5""")
+def chapter_problems(spark, d):
+    """Faults that stop a crawl: a section of another chapter, a flag against its catchline, a number that is none, a
+    section twice, a file without its chapter. Sound files (a sixth) report nothing."""
+    docs = mcl_docs(spark, d).where("source = 'mcl' and v = ''").withColumns({"c": F.regexp_extract("citation", "^MCL ([0-9]+[A-Z]?)", 1), "k": F.col("doc_id") % 6})
+    k = F.col("k")
+    sec = tag("MCLSectionInfo", tag("MCLNumber", F.when(k == 2, F.concat(F.lit("§"), F.col("c"))).otherwise(F.col("number"))), tag("CatchLine", F.lit("About it.")), tag("Repealed", (k == 1).cast("string")), tag("BodyText", F.lit("Text.")))
+    twice = F.when(k == 3, F.concat(sec, sec)).otherwise(sec)
+    inner = lambda x: tag("MCLDocumentInfoCollection", x)
+    name = F.when(k == 4, "").when(k == 0, "999").otherwise(F.col("c"))
+    page = tag("MCLChapterInfo", tag("Name", name), F.lit("<MultiChapter>false</MultiChapter>"), inner(tag("MCLStatuteInfo", F.lit("<Name>Act 1 of 1999</Name>"), inner(twice))))
+    rows = _parsed(docs.withColumn("page", page), ch.xml_rows)
+    return ch.problems(rows, ch.records(rows, SITE)).select(F.col("file").cast("bigint").alias("doc_id"), "problem")
+
+
+@query("""SELECT min_by('Michigan Compiled Laws Complete Through PA ' || (doc_id % 300 + 1) || ' of ' || (2000 + doc_id % 20), (2000 + doc_id % 20) * 1000 + doc_id % 300 + 1) AS currency FROM documents WHERE source = 'mcl' AND coalesce(variant, '') = ''""")
+def currency_oldest(spark, d):
+    """The least current of all pages' stamps, which stand at the head or the foot of whole texts."""
+    docs = mcl_docs(spark, d).where("source = 'mcl' and v = ''")
+    i = F.col("doc_id")
+    stamp = F.concat(F.lit("<p>Michigan Compiled Laws  Complete Through PA "), (i % 300 + 1).cast("string"), F.lit(" of "), (i % 20 + 2000).cast("string"), F.lit("</p>"))
+    body = F.array_join(F.transform("lines", lambda x: tag("p", esc(x))), "")
+    page = F.concat(
+        F.when(i % 2 == 0, stamp).otherwise(""), F.lit('<div class="chapterWrapper"><div class="chapterHeading"><h1>Chapter 5</h1></div><div class="statuteWrapper">'), body, F.lit("</div></div>"), F.when(i % 2 == 1, stamp).otherwise("")
+    )
+    return ch.oldest_currency(_parsed(docs.withColumn("page", page), ch.html_rows))
+
+
+# --- references written from numbers ----------------------------------------------------------------------
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 700 + 1 AS VARCHAR) || '.' || CAST(l_partkey AS VARCHAR) AS c,
+                  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n, count(*) OVER (PARTITION BY l_orderkey) AS m FROM lineitem WHERE l_orderkey % 3 <> 0),
+s AS (SELECT *, (l_orderkey + n) % 4 AS sep FROM l),
+f AS (SELECT l_orderkey, 'MCL ' || c || 'b' AS key, n, (n > 1 AND lag(sep) OVER w >= 2) OR (n < m AND sep >= 2) AS r FROM s WINDOW w AS (PARTITION BY l_orderkey ORDER BY n))
+SELECT l_orderkey, 'mcl' AS kind, key, arg_min(r, n) AS in_range FROM f GROUP BY l_orderkey, key
+UNION ALL SELECT l_orderkey, 'const', CASE WHEN l_orderkey % 2 = 0 THEN 'Const 1963, art ' || (l_orderkey % 12 + 1) ELSE 'Const 1963, Schedule' END || ', § ' || (l_orderkey % 40 + 1) || 'a', FALSE FROM (SELECT DISTINCT l_orderkey FROM lineitem)""")
+def xref_being(spark, d):
+    """Chains led in by "being sections" (a third lacks what must follow and is none), and the constitution in both orders,
+    with roman and plain articles and the schedule."""
+    from ..functions.xrefs import extract_xrefs
+
+    o = F.col("l_orderkey")
+    sep = lambda n: F.element_at(F.array(*[F.lit(x) for x in (" & ", ", or ", " – ", "  through\n")]), (o + n).cast("int") % 4 + 1)
+    items = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"))
+    cite = lambda c: F.concat((c % 700 + 1).cast("string"), F.lit("."), c.cast("string"), F.lit("B(1)(a)"))
+    chain = F.array_join(F.transform("x", lambda r, i: F.concat(cite(r["l_partkey"]), F.when(i + 1 < F.size("x"), sep(i + 1)).otherwise(""))), "")
+    after = F.when(o % 3 == 0, " of another code").otherwise(" of the Michigan  Compiled Laws")
+    art = (o % 12 + 1).cast("int")
+    place = F.when(o % 2 == 1, "Schedule").when(o % 4 == 0, F.concat(F.lit("art. "), roman(art))).otherwise(F.concat(F.lit("article "), art.cast("string")))
+    const = F.concat(F.when(o % 5 == 0, "1963 Const").otherwise("Const. 1963"), F.lit(", "), place, F.lit(", § "), (o % 40 + 1).cast("string"), F.lit("A"))
+    text = F.concat(F.lit("Being  sections "), chain, after, F.lit("; see "), const, F.lit("."))
+    return extract_xrefs(items.select("l_orderkey", text.alias("text")), "l_orderkey", "text").select("l_orderkey", "kind", "key", "in_range")
+
+
+# --- the merge's other tables -----------------------------------------------------------------------------
+
+
+@query(f"""SELECT DISTINCT source, citation, CASE WHEN canonical IS NULL OR canonical <> citation THEN 'citation is not canonical' WHEN kind <> source THEN 'citation belongs to another source' ELSE 'source was not declared' END AS problem
+FROM (SELECT *, CASE WHEN regexp_matches(k, '^(MCL|MCR|MRE|Const 1963,) ') THEN k END AS canonical, lower(regexp_extract(k, '^([A-Za-z]+)', 1)) AS kind
+      FROM (SELECT DISTINCT regexp_replace(lower(to_kind), '[^a-z]', '', 'g') AS source, to_key AS citation, {_cite("to_key")} AS k FROM xrefs WHERE to_key IS NOT NULL AND to_kind IS NOT NULL))
+WHERE canonical IS NULL OR canonical <> citation OR kind <> source OR source NOT IN ('mcl', 'mre')""")
+def merge_violations(spark, d):
+    """Keys as they are written in references, held against the store's contract: canonical, of their source, declared."""
+    x = table(spark, d, "xrefs").where("to_key is not null and to_kind is not null")
+    rows = x.select(F.regexp_replace(F.lower("to_kind"), "[^a-z]", "").alias("source"), F.col("to_key").alias("citation")).distinct()
+    out = None
+    for source in ("mcl", "mcr", "mre", "const", "publicact"):
+        part = mg.violations(rows.where(F.col("source") == source), mg.Run(1, "1", kinds=["mcl", "mre"])).select(F.lit(source).alias("source"), "citation", "problem")
+        out = part if out is None else out.unionByName(part)
+    return out.distinct()
+
+
+_SPANS = f"""(SELECT chapter, min(ROW(n1, l1, n2, l2, citation)) AS lo, max(ROW(n1, l1, n2, l2, citation)) AS hi FROM (SELECT *, {_KEY} FROM documents WHERE NOT active AND source = 'mcl' AND coalesce(variant, '') = '' AND chapter IS NOT NULL) GROUP BY chapter)"""
+
+
+@query(f"""WITH r AS (SELECT chapter, lo[5] AS start_citation, hi[5] AS end_citation, TRY_CAST(regexp_extract(chapter, '^[0-9]+') AS INTEGER) AS n FROM {_SPANS})
+SELECT start_citation, end_citation, chapter, NOT (n % 2 = 0 AND n % 3 = 0) AS active, '1' AS first_seen, CASE WHEN n % 2 = 0 AND n % 3 <> 0 THEN 'second' ELSE 'first' END AS note FROM r""")
+def merge_ranges_scope(spark, d):
+    """Removed spans upserted, then again for the even chapters, each twice and without every third: the last of repeated
+    ones counts, the missing ones are deactivated, other chapters stay."""
+    spans = removed_ranges(spark, d).where("chapter is not null").select(F.lit("mcl").alias("source"), "start_citation", "end_citation", "chapter", *[F.lit(None).cast("string").alias(c) for c in ("act_citation", "act_name", "status")])
+    n = F.regexp_extract("chapter", "^[0-9]+", 0).try_cast("int")
+    ranges = reliable(mg.merge_ranges(spark.createDataFrame([], RANGES), spans.withColumn("note", F.lit("first")), mg.Run(1, "1")))
+    again = spans.where((n % 2 == 0) & (n % 3 != 0)).select("*", F.explode(F.array(F.struct(F.lit(2).alias("ordinal"), F.lit("second").alias("note")), F.struct(F.lit(1).alias("ordinal"), F.lit("zero").alias("note")))).alias("o")).select("*", "o.*").drop("o")
+    scope = [r.chapter for r in spans.where(n % 2 == 0).select("chapter").distinct().collect()]  # chapters: some hundred
+    return mg.merge_ranges(ranges, again, mg.Run(2, "2", chapters=scope)).select("start_citation", "end_citation", "chapter", "active", "first_seen", "note")
+
+
+@query("""SELECT act_year AS year, act_number AS number, max_by(title, coalesce(recorded_at, '') || title) AS title, 'MCL 1.' || act_number || '; MRE 404' AS targets, CAST(count(*) FILTER (WHERE FALSE) AS BIGINT) AS lost FROM public_acts GROUP BY act_year, act_number""")
+def merge_acts_upsert(spark, d):
+    """Acts upserted with targets in any spelling; of repeated deliveries the last counts."""
+    a = table(spark, d, "public_acts")
+    cites = F.array(F.concat(F.lit("mcl  1."), F.col("act_number").cast("string"), F.lit("(2)(b)")), F.concat(F.lit("1."), F.col("act_number").cast("string")), F.lit("mre 404"))
+    rows = a.select(F.struct(F.coalesce("recorded_at", F.lit("")), "title").alias("ordinal"), F.col("act_year").alias("year"), F.col("act_number").alias("number"), "title", "effective_date", "url", cites.alias("affected_citations"))
+    stored = reliable(mg.merge_acts(spark.createDataFrame([], ACTS), rows.withColumn("title", F.lit("old"))))
+    after = mg.merge_acts(stored, rows)
+    lost = after.join(stored.select("year", "number", F.lit(True).alias("held")), ["year", "number"], "left")
+    return lost.groupBy("year", "number", "title", F.array_join("affected_citations", "; ").alias("targets")).agg(F.count(F.when(F.col("held").isNull(), 1)).alias("lost"))
