@@ -59,8 +59,8 @@ def run_outcomes(runs: DataFrame) -> DataFrame:
 
 
 _LISTING = "struct<sha:string,size:bigint,modified_at:bigint>"
-_WORK = "struct<run_id:bigint,token:int,state:string,work:boolean,attempt:int,closed:boolean>"
-_ITEM = f"struct<state:string,token:int,leased:{_LISTING},done:{_LISTING},attempts:int,log:array<{_WORK}>>"
+_LEASE = "struct<run_id:bigint,token:int,attempt:int,closed:boolean>"
+_ITEM = f"struct<state:string,token:int,leased:{_LISTING},done:{_LISTING},attempts:int,log:array<{_LEASE}>>"
 
 
 def transitions(events: Column) -> Column:
@@ -76,8 +76,8 @@ def transitions(events: Column) -> Column:
     * complete: a run that ended well completes what it holds, and only what it holds: its token must
       be the item's. Then the leased listing is the one done and the attempts start over.
 
-    ``log`` has one entry per event: state after it, whether the run leased the item, the attempt, and
-    whether the completion was accepted.
+    ``log`` has one entry per lease: the run, its token, the attempt, and whether its completion was
+    accepted. Events that lease nothing leave it as it is.
     """
     none = F.lit(None).cast(_LISTING)
     item = lambda state, token, leased, done, attempts, log: F.struct(
@@ -94,11 +94,11 @@ def transitions(events: Column) -> Column:
         attempt = it["attempts"] + take.cast("int")
         accepted = e["ok"] & (leased == LEASED) & (held == e["token"])
         after = F.when(accepted, DONE).otherwise(leased)
-        entry = F.struct(e["run_id"].alias("run_id"), e["token"].alias("token"), after.alias("state"), take.alias("work"), attempt.alias("attempt"), accepted.alias("closed"))
+        entry = F.struct(e["run_id"].alias("run_id"), e["token"].alias("token"), attempt.alias("attempt"), accepted.alias("closed"))
         # A good run also confirms what it found unchanged: later listings compare with that one.
         return item(
             after, held, F.when(take, e["listing"]).otherwise(it["leased"]), F.when(e["ok"], e["listing"]).otherwise(it["done"]),
-            F.when(e["ok"], 0).otherwise(attempt), F.concat(it["log"], F.array(entry)),
+            F.when(e["ok"], 0).otherwise(attempt), F.when(take, F.concat(it["log"], F.array(entry))).otherwise(it["log"]),
         )
 
     return F.aggregate(events, start, move)
@@ -116,17 +116,14 @@ def ledger(listings: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def replay(listings: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """The ledger's log: one row per item and run that listed it.
+    """The ledger's log: one row per lease, that is per item and run that had to process it.
 
-    Columns: run_id, source, name, token, state after the run (``leased`` where it ended without
-    completing the item: the lease expires before the next run), work (whether the run had to process
-    the item), attempt, closed (whether its completion was accepted), path (of its output).
+    Columns: run_id, source, name, token, attempt (leases since the item was last done), closed
+    (whether the completion was accepted; if not the lease expired before the next run), path (of
+    the output).
     """
     log = ledger(listings, outcomes).select("source", "name", F.inline("item.log"))
-    return log.select(
-        "run_id", "source", "name", "token", "state", "work", "attempt", "closed",
-        F.when(F.col("work"), output_path(F.col("source"), F.col("token"))).alias("path"),
-    )
+    return log.select("run_id", "source", "name", "token", "attempt", "closed", output_path(F.col("source"), F.col("token")).alias("path"))
 
 
 def output_path(source: Column, token: Column) -> Column:

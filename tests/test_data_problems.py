@@ -220,9 +220,9 @@ def test_problem_3(spark):
     assert got == brute_taken(once, runs)
     assert taken_in(spark.createDataFrame([], FILES), spark.createDataFrame([], RUNS)).count() == 0
     led = replay(listings_of(spark.createDataFrame(once, FILES)), run_outcomes(spark.createDataFrame(runs, RUNS)))
-    assert {r.state for r in led.where("work and not closed").collect()} == {"leased"}
-    assert led.where("work and path is null").count() == 0 and led.where("closed and not work").count() == 0
+    assert led.where("path is null or attempt < 1").count() == 0
     assert led.where("attempt > 1").count() > 0  # leased again after a failed run
+    assert {r.run_id for r in led.where("not closed").collect()} <= {12, 13} and {r.run_id for r in led.where("closed").collect()} <= {10, 11, 14, 15}
 
 
 def test_ledger_moves_of_one_item(spark):
@@ -231,9 +231,7 @@ def test_ledger_moves_of_one_item(spark):
     events = [(1, 10, False, at("x")), (2, 11, True, at("x")), (3, 12, True, at("x")), (4, 13, False, at("y")), (5, 14, True, at("x")), (6, 15, True, at(None)), (7, 16, True, at("z"))]
     df = spark.createDataFrame([(events,)], "e array<struct<token:int,run_id:bigint,ok:boolean,listing:struct<sha:string,size:bigint,modified_at:bigint>>>")
     item = df.select(transitions(F.col("e")).alias("i")).first().i
-    assert [(r.run_id, r.state, r.work, r.attempt, r.closed) for r in item.log] == [
-        (10, "leased", True, 1, False), (11, "done", True, 2, True), (12, "done", False, 0, False), (13, "leased", True, 1, False),
-        (14, "done", False, 1, False), (15, "done", False, 0, False), (16, "done", False, 0, False)]
+    assert [(r.run_id, r.token, r.attempt, r.closed) for r in item.log] == [(10, 1, 1, False), (11, 2, 2, True), (13, 4, 1, False)]
     assert (item.state, item.token, item.attempts, item.done.sha) == ("done", 4, 0, "z")
 
 
