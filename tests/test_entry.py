@@ -10,7 +10,7 @@ import __spark_entry__ as e
 
 ROOT = Path(__file__).resolve().parent.parent
 SF = "/root/testdata/sf0.001"
-CHEAP = ["doc_as_of", "doc_other_forms", "data_status", "citation_normalize", "citation_sort", "chapter_outline", "xref_cites", "public_act_targets", "feed_classify", "manifest_plan", "search_boolean", "stream_feed_counts", "p2_found", "p4_found", "p5_found"]
+CHEAP = ["doc_as_of", "doc_other_forms", "data_status", "citation_normalize", "citation_sort", "chapter_outline", "xref_cites", "public_act_targets", "feed_classify", "manifest_plan", "search_boolean", "stream_feed_counts", "feed_titles", "feed_rss", "xml_roundtrip", "html_roundtrip", "chapter_ranges", "chapter_problems", "xref_being", "merge_scope", "merge_guard", "content_hash", "search_stemmed", "p1_found", "p2_found", "p3_found", "p3_ledger", "p4_found", "p4_counts", "p5_found"]
 
 
 def test_contract():

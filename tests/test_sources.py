@@ -120,6 +120,17 @@ def test_html_chapter(spark, tmp_path):
     assert crawl.chapters == ["750"] and [r.end_citation for r in crawl.ranges.collect()] == ["MCL 750.95"]
 
 
+def test_warnings_do_not_stop_a_crawl(spark, tmp_path):
+    html = f"""<div class="chapterWrapper"><div class="chapterHeading"><h1>Chapter 750</h1></div><div class="statuteWrapper"><div class="statuteHeading"><h1>THE CODE</h1><h2>Some 1 label</h2></div>
+    <div>The People of the State of Michigan enact:</div><aside>Loose words</aside>{WRAP.format(n="750.1", catch="Short title.").replace("</div></div>", '</div><div class="commentary">EFFECTIVE MAY 1, 2026</div></div>')}</div></div>"""
+    (tmp_path / "c.html").write_text(html)
+    rows = ch.parse_files(spark, str(tmp_path), "html")
+    recs = ch.records(rows)
+    assert ch.problems(rows, recs).count() == 0
+    assert {r.warning for r in ch.warnings(rows, recs).collect()} == {
+        "<aside> kept out of the data: Loose words", "act label not recognised: Some 1 label", "chapter 750 has no currency stamp", "banner on an ordinary form: 750.1"}
+
+
 def test_site_pages(spark, tmp_path):
     row = '<tr><td><a href="/Laws/MCL?objectName=mcl-175-1927-I">Chapter I</a></td><td>Division</td><td>DEFINITIONS (761.1...762.16)</td></tr>'
     act = f"""<main><input name="mclParent" value="mcl-Act-175-of-1927"><div class="statuteWrapper"><div class="statuteHeading"><h1>THE CODE</h1><h2>Act 175 of 1927</h2></div><p>AN ACT</p>
