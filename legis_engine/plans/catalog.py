@@ -74,13 +74,6 @@ def doc_as_of(spark, d):
     return rows.select("document_id", "version_id", "content_hash", "first_seen", "superseded")
 
 
-@query("SELECT document_id, min(first_seen) AS earliest, max(first_seen) AS latest, count(DISTINCT lower(content_hash)) AS n_states FROM versions GROUP BY document_id")
-def doc_as_of_earliest(spark, d):
-    return table(spark, d, "versions").groupBy("document_id").agg(
-        F.min("first_seen").alias("earliest"), F.max("first_seen").alias("latest"), F.countDistinct(F.lower("content_hash")).alias("n_states")
-    )
-
-
 @query("""
 SELECT d.doc_id, d.citation, d.source, d.chapter, d.url, d.active, v.status, v.first_seen FROM documents d
 JOIN (SELECT document_id, trim(regexp_replace(trim(lower(status)), '\\.+$', '')) AS status, first_seen,
@@ -377,27 +370,6 @@ _SNAP = f"""(SELECT DISTINCT snapshot_no, lower(trim(source)) AS source, {_cite(
 FROM corpus_snapshots WHERE is_current)"""
 
 
-@query(f"""
-WITH s AS {_SNAP}, n AS (SELECT source, snapshot_no, row_number() OVER (PARTITION BY source ORDER BY snapshot_no) AS k FROM (SELECT DISTINCT source, snapshot_no FROM s)),
-r AS (SELECT s.*, n.k FROM s JOIN n USING (source, snapshot_no)),
-l AS (SELECT *, lag(h) OVER w AS ph, lag(k) OVER w AS pk FROM r WINDOW w AS (PARTITION BY source, citation, variant ORDER BY k))
-SELECT source, snapshot_no, CASE WHEN pk IS NULL THEN 'new' WHEN pk < k - 1 THEN 'restored' WHEN ph <> h THEN 'modified' ELSE 'unchanged' END AS change_type, count(*) AS n
-FROM l GROUP BY ALL""")
-def merge_replay_counts(spark, d):
-    """What the merge would report for each delivery in turn: new, modified, restored, unchanged."""
-    from ..functions.citations import collapse
-
-    s = table(spark, d, "corpus_snapshots").where("is_current").select(
-        "snapshot_no", F.lower(F.trim("source")).alias("source"), F.coalesce(normalize_citation(F.col("citation")), collapse(F.col("citation"))).alias("citation"),
-        F.coalesce("variant", F.lit("")).alias("variant"), F.coalesce(F.lower("content_hash"), F.lit("")).alias("h"),
-    ).distinct()
-    k = s.select("source", "snapshot_no").distinct().withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("snapshot_no")))
-    w = Window.partitionBy("source", "citation", "variant").orderBy("k")
-    r = s.join(k, ["source", "snapshot_no"]).withColumns({"ph": F.lag("h").over(w), "pk": F.lag("k").over(w)})
-    kind = F.when(F.col("pk").isNull(), "new").when(F.col("pk") < F.col("k") - 1, "restored").when(F.col("ph") != F.col("h"), "modified").otherwise("unchanged")
-    return r.groupBy("source", "snapshot_no", kind.alias("change_type")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def deliveries(spark: SparkSession, d: str) -> DataFrame:
     """Current rows of each delivery as records for the merge; the digest stands for the text."""
     s = table(spark, d, "corpus_snapshots").where("is_current").select(
@@ -839,12 +811,6 @@ def object_names(spark, d):
 # --- generic table shapes ------------------------------------------------------------------------------
 
 
-@query("""SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""")
-def json_props(spark, d):
-    k = F.get_json_object("props", "$.k").try_cast("bigint")
-    return table(spark, d, "events").groupBy("event_type", k.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
-
-
 @query("""SELECT c_custkey, o_orderkey, o_orderdate, superseded FROM (SELECT c_custkey, o.o_orderkey, o.o_orderdate, o.newest AS superseded,
 row_number() OVER (PARTITION BY c_custkey ORDER BY o.o_orderdate DESC, o.o_orderkey DESC) AS rn FROM customer JOIN
 (SELECT *, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) IS NOT NULL AS newest FROM orders) o ON o.o_custkey = c_custkey WHERE o.o_orderdate < TIMESTAMP '1996-07-01') WHERE rn = 1""")
