@@ -82,8 +82,8 @@ def transitions(events: Column) -> Column:
     none = F.lit(None).cast(_LISTING)
     item = lambda state, token, leased, done, attempts, log: F.struct(
         state.alias("state"), token.alias("token"), leased.alias("leased"), done.alias("done"), attempts.alias("attempts"), log.alias("log")
-    ).cast(_ITEM)
-    start = item(F.lit(PENDING), F.lit(0), none, none, F.lit(0), F.array())
+    )
+    start = item(F.lit(PENDING), F.lit(0), none, none, F.lit(0), F.array()).cast(_ITEM)
 
     def move(it: Column, e: Column) -> Column:
         # Tokens rise: whatever is still leased here belongs to an earlier run, and has expired.

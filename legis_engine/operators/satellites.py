@@ -23,7 +23,7 @@ def build_satellite(
 ) -> DataFrame:
     """Rows to insert into a satellite: ``key, at, tie, attrs, hash_diff`` where the digest changes.
 
-    ``obs`` has ``_hot`` (see ``mark_hot``) and one row per key and time and attribute set. ``tie``
+    ``obs`` has ``_hot`` (see ``mark_hot``); a row that repeats another changes nothing. ``tie``
     names the columns that order observations of one instant; satellites that are to be viewed
     together must share them, or the states of one instant would be put together crosswise.
 
@@ -37,7 +37,7 @@ def build_satellite(
     digest = hash_diff(*[F.col(a) for a in attrs])
     shape = lambda df: df.where(F.col(at).isNotNull()).select(
         key, at, *tie, *[a for a in attrs if a not in tie], "_hot", digest.alias("hash_diff")
-    ).distinct()
+    )
     rows, order = shape(obs), F.struct(at, *tie, "hash_diff")
     rows = rows.withColumn("_last", F.lit(None).cast("binary"))
     if after is not None:
@@ -126,12 +126,12 @@ def document_history(versions: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame
     the order of content hash and status, the first of them ending where it starts. Empty input
     gives an empty result.
     """
-    obs = versions.select(
-        "document_id", "first_seen",
-        F.lower(F.trim("content_hash")).alias("content_hash"), clean_status(F.col("status")).alias("status"),
-    ).where(F.col("first_seen").isNotNull()).distinct()
+    state = F.struct(F.lower(F.trim("content_hash")).alias("content_hash"), clean_status(F.col("status")).alias("status"))
+    seen = versions.where(F.col("first_seen").isNotNull()).groupBy("document_id", "first_seen").agg(F.sort_array(F.collect_set(state)).alias("_states"))
+    # Re-deliveries are gone here; of one instant there are as many states as differ, and they are numbered.
+    obs = seen.select("document_id", "first_seen", F.posexplode("_states").alias("seq", "s")).select("document_id", "first_seen", "seq", "s.*")
     obs = mark_hot(obs, "document_id", hot_rows)
-    tie = ["content_hash", "status"]
+    tie = ["seq"]
     sats = {
         "content": build_satellite(obs, "document_id", "first_seen", ["content_hash"], tie),
         "state": build_satellite(obs, "document_id", "first_seen", ["status"], tie),
