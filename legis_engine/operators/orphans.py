@@ -9,8 +9,6 @@ news of; nothing is rewritten. ``replay`` feeds a backlog through it period by p
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -89,12 +87,6 @@ def parent_events(parents: DataFrame) -> DataFrame:
     return parents.select(*KEY, F.explode(F.filter(life, lambda e: e.isNotNull())).alias("e")).select(*KEY, "e.t", "e.dead")
 
 
-def at_once(*jobs: Callable) -> list:
-    """Runs jobs that do not wait for each other side by side; the first failure is raised."""
-    with ThreadPoolExecutor(len(jobs)) as pool:
-        return [f.result() for f in [pool.submit(j) for j in jobs]]
-
-
 class OrphanState:
     """Pending-orphan state in a folder of the shared file system; every table is appended per batch.
 
@@ -171,7 +163,7 @@ class OrphanState:
         came = skew_left_join(waiting, parents.where("new"), KEY, hot=hot).where("life is not null")
         late = ~first["dead"] & (first["t"] > found)
         came = came.select("xref_id", *KEY, "found", F.when(late, "later").alias("status"), F.when(late, first["t"]).alias("arrived"))
-        probe, closed = at_once(lambda: self._put("probe", probed), lambda: self._put("closed", came))
+        probe, closed = self._put("probe", probed), self._put("closed", came)
         # Openings and closings; of references found earlier their number is enough.
         move = lambda reason, t, d: F.struct(F.lit(reason).alias("reason"), t.alias("t"), d.cast("bigint").alias("d"))
         turned = F.transform("turns", lambda x: move("deleted", x["t"], F.when(x["dead"], 1).otherwise(-1)))
@@ -186,7 +178,8 @@ class OrphanState:
             .unionByName(again.select("to_table", "reason", "t", (F.col("n") * F.col("d")).alias("d")))
         )
         moves = steps.groupBy("to_table", "reason", month_of(F.col("t")).alias("period")).agg(F.sum("d").alias("d"))
-        at_once(lambda: self._put("moves", moves), lambda: self._put("seen", probe.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))))
+        self._put("moves", moves)
+        self._put("seen", probe.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")))
         return OrphanState(self.spark, self.folder, b + 1)
 
     def _missing(self) -> DataFrame:
@@ -240,8 +233,8 @@ def replay(refs: DataFrame, events: DataFrame, months: int = 12) -> OrphanState:
     at = f"{state.folder}/backlog"
     placed = refs.withColumn("batch", ordinal(F.col("found")))
     timed = events.withColumn("batch", F.when(F.col("t") == ALWAYS, first).otherwise(ordinal(F.col("t"))))
-    _, dated = at_once(lambda: placed.write.partitionBy("batch").parquet(at), lambda: materialize(timed, "parent_events"))
-    laid = spark.read.schema(placed.schema).parquet(at)
+    placed.write.partitionBy("batch").parquet(at)
+    laid, dated = spark.read.schema(placed.schema).parquet(at), materialize(timed, "parent_events")
     numbers = sorted(r.batch for r in laid.select("batch").union(dated.select("batch")).distinct().collect())
     hot = materialize(hot_keys(laid, KEY), "hot_keys")
     for n in numbers:
