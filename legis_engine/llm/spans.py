@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -325,9 +325,21 @@ def _subtrees(ctx: DataFrame, span: int) -> DataFrame:
     return ctx.repartition("h").sortWithinPartitions("h").mapInArrow(run, _SPAN)
 
 
-_REACH = T.StructType([
-    T.StructField("g", T.LongType()), T.StructField("before", T.StringType()), T.StructField("after", T.StringType()), T.StructField("l", T.LongType()), T.StructField("r", T.LongType()),
-])
+_REACH = T.StructType([T.StructField("cid", T.LongType()), T.StructField("l", T.LongType()), T.StructField("r", T.LongType())])
+
+
+def _class_trees(rows: DataFrame, span: int) -> DataFrame:
+    """How far classes reach in subtrees of their band: ``cid, l, r``; rows without a class are partners only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches):
+            lo, hi = _reaches(table, span)
+            cid = table["cid"].to_numpy()
+            ok = (hi >= 0) & (cid >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(cid[ok]), pa.array(lo[ok]), pa.array(hi[ok])], names=["cid", "l", "r"])
+
+    shaped = rows.select(F.col("k").alias("h"), "doc_id", F.coalesce("cid", F.lit(-1)).alias("cid"), F.col("b").alias("before"), F.col("a").alias("after"))
+    return shaped.repartition("h").sortWithinPartitions("h").mapInArrow(run, _REACH)
 
 
 def _split(ctx: DataFrame, span: int, seed: int, group: int) -> DataFrame:
@@ -337,47 +349,50 @@ def _split(ctx: DataFrame, span: int, seed: int, group: int) -> DataFrame:
        repeat as far as its text goes, so copies never meet each other; it takes part in the rest
        as a partner only, by two of its records.
     2. A repeat that reaches d characters behind the anchor, d from s to t, has s characters behind
-       and ``span`` - t before it in common. For each band of d those characters are the prefix.
-    3. A band's group is a subtree if it fits. If not, more than ``group`` different texts share
-       nearly a whole span; there each window of the span length in the band is its own prefix, as
-       a string, and two records that have it share it.
+       and ``span`` - t before it in common. For each band of d those characters are the prefix; a
+       class keeps t characters behind and ``span`` - s before the anchor in it, more it cannot need.
+    3. A band's group is a subtree if it fits. If not, records that agree in all the band keeps are
+       repeats throughout it, and two of them stay as partners for the rest. The rest goes on in
+       the two halves of the band. A band of one d has nothing left to split: there the prefix is
+       a whole window of the span length, and sharing it is the repeat.
     """
     same = ["h", "before", "after"]
     ctx = materialize(ctx, "popular_contexts")
-    classes = materialize(ctx.groupBy(*same).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "classes")
-    whole = classes.where("lo < hi").select(*same, F.length("before").cast("bigint").alias("l"), F.length("after").cast("bigint").alias("r"))
-    one = classes.select(*same, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("doc_id"))
-    bands = [(s, min(s + BAND, span + 1) - 1) for s in range(seed, span + 1, BAND)]
-    behind = lambda k: F.substring("after", 1, k)
-    front = lambda k: F.substring("before", -k, k) if k else F.lit("")
-    keys = F.array(*[
-        F.when((F.length("after") >= s) & (F.length("before") >= span - t), F.struct(F.lit(s).alias("s"), F.lit(t).alias("t"), F.xxhash64("h", F.lit(s), behind(s), front(span - t)).alias("k")))
-        for s, t in bands
-    ])
-    keyed = one.select(*same, "doc_id", F.inline(F.filter(keys, lambda x: x.isNotNull())))
-    sized = keyed.groupBy("k").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo < _hi").select("k", "_n")
-    met = materialize(keyed.join(sized, "k"), "banded")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches):
-            lo, hi = _reaches(table, span)
-            ok = pa.array(hi >= 0)
-            kept = table.filter(ok)
-            cols = [kept[c].combine_chunks() for c in ("g", "before", "after")]
-            cols = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(lo[hi >= 0]), pa.array(hi[hi >= 0])], names=["g", "before", "after", "l", "r"])
-
-    fits = met.where(F.col("_n") <= group).select(F.col("k").alias("h"), F.col("h").alias("g"), "doc_id", "before", "after")
-    by_tree = fits.repartition("h").sortWithinPartitions("h").mapInArrow(run, _REACH).withColumnRenamed("g", "h")
-    # Windows: d characters behind the anchor, the rest before it. There is a bounded number per class.
-    d = F.explode(F.filter(F.sequence("s", "t"), lambda x: (x <= F.length("after")) & (F.lit(span) - x <= F.length("before"))))
-    windows = met.where(F.col("_n") > group).select(*same, "doc_id", d.alias("d"))
-    cut = F.expr(f"concat(right(before, {span} - d), left(after, d))")
-    windows = windows.withColumn("w", cut)
-    shared = windows.groupBy("w").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi")).where("_lo < _hi").select("w")
-    by_window = windows.join(shared, "w", "left_semi").groupBy(*same).agg(F.max(F.lit(span) - F.col("d")).cast("bigint").alias("l"), F.max("d").cast("bigint").alias("r"))
-    reach = whole.unionByName(by_tree).unionByName(by_window).groupBy(*same).agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    return ctx.join(reach, same).select("doc_id", (F.col("pos") - F.col("l")).alias("start_pos"), (F.col("pos") + F.col("r")).alias("end_pos"))
+    classes = ctx.groupBy(*same).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    several = F.col("lo") < F.col("hi")
+    reaches = [classes.where(several).select("cid", F.length("before").cast("bigint").alias("l"), F.length("after").cast("bigint").alias("r"))]
+    one = classes.select(F.when(~several, F.col("cid")).alias("cid"), F.explode(F.array_distinct(F.array("lo", "hi"))).alias("doc_id"), F.col("before").alias("b"), F.col("after").alias("a"))
+    bands = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(min(s + BAND, span + 1) - 1).alias("t")) for s in range(seed, span + 1, BAND)])
+    node = ["s", "t", "a", "b"]
+
+    def cut(rows: DataFrame, into: Column) -> DataFrame:
+        """Rows in narrower bands, as far as their text is long enough for them."""
+        fits = F.filter(into, lambda x: (F.length("a") >= x["s"]) & (F.length("b") >= F.lit(span) - x["t"]))
+        return rows.withColumn("x", F.explode(fits)).select("cid", "doc_id", "x.s", "x.t", F.expr("left(a, x.t)").alias("a"), F.expr(f"right(b, {span} - x.s)").alias("b")).distinct()
+
+    rows = materialize(cut(one, bands), "bands")
+    while True:
+        keyed = rows.withColumn("k", F.xxhash64("s", "t", F.expr("left(a, s)"), F.expr(f"right(b, {span} - t)")))
+        sized = keyed.groupBy("k").agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"), F.count(F.lit(1)).alias("_n"), F.count("cid").alias("_open"))
+        met = materialize(keyed.join(sized.where("_lo < _hi and _open > 0").select("k", "_n"), "k"), "banded")
+        reaches.append(_class_trees(met.where(F.col("_n") <= group), span))
+        hot = met.where((F.col("_n") > group))
+        if not hot.limit(1).count():
+            break
+        shared = materialize(hot.groupBy(*node).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi"), "agreeing")
+        asked = hot.where("cid is not null").select("cid", "doc_id", *node)
+        reaches.append(asked.join(shared.select(*node), node, "left_semi").select("cid", F.length("b").cast("bigint").alias("l"), F.length("a").cast("bigint").alias("r")))
+        partners = shared.select(F.lit(None).cast("bigint").alias("cid"), F.explode(F.array("lo", "hi")).alias("doc_id"), *node)
+        rest = asked.join(shared.select(*node), node, "left_anti").unionByName(partners).where("s < t")
+        half = F.floor((F.col("s") + F.col("t")) / 2).cast("int")
+        rows = materialize(cut(rest, F.array(F.struct(F.col("s").alias("s"), half.alias("t")), F.struct((half + 1).alias("s"), F.col("t").alias("t")))), "bands")
+    reach = reaches[0]
+    for more in reaches[1:]:
+        reach = reach.unionByName(more)
+    reach = reach.groupBy("cid").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    members = ctx.join(classes.join(reach, "cid").select(*same, "l", "r"), same)
+    return members.select("doc_id", (F.col("pos") - F.col("l")).alias("start_pos"), (F.col("pos") + F.col("r")).alias("end_pos"))
 
 
 def merge_runs(spans: DataFrame) -> DataFrame:
