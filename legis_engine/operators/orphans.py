@@ -218,7 +218,7 @@ class OrphanState:
         return skew_left_join(self.table("probe"), now, KEY).select("xref_id", "to_table", "found", F.coalesce("_dead", F.lit(True)).alias("open"))
 
 
-def replay(refs: DataFrame, events: DataFrame, months: int = 12) -> OrphanState:
+def replay(refs: DataFrame, events: DataFrame, months: int = 24) -> OrphanState:
     """A backlog through the state in batches of ``months`` calendar months.
 
     The result does not depend on ``months``. References without a time come last. References are
@@ -242,11 +242,11 @@ def replay(refs: DataFrame, events: DataFrame, months: int = 12) -> OrphanState:
     return state
 
 
-def orphan_state(xrefs: DataFrame, documents: DataFrame, public_acts: DataFrame, months: int = 12) -> OrphanState:
+def orphan_state(xrefs: DataFrame, documents: DataFrame, public_acts: DataFrame, months: int = 24) -> OrphanState:
     return replay(references(xrefs), parent_events(parent_index(documents, public_acts)), months)
 
 
-def orphan_references(xrefs: DataFrame, documents: DataFrame, public_acts: DataFrame, months: int = 12) -> DataFrame:
+def orphan_references(xrefs: DataFrame, documents: DataFrame, public_acts: DataFrame, months: int = 24) -> DataFrame:
     """Problem 4, from the incremental state. Empty tables give no rows (without parents every
     reference is missing)."""
     return orphan_state(xrefs, documents, public_acts, months).orphans()
