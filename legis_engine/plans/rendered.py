@@ -132,7 +132,6 @@ def xml_roundtrip(spark, d):
     return _records(_parsed(docs.withColumn("page", page), ch.xml_rows))
 
 
-_HTML_LINES = f"list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '{_NO_XML}', ' ', 'g'), chr(10)), lambda x: {_words('x')}), lambda x: x <> '')"
 
 
 @query(_record(

@@ -10,7 +10,7 @@ from legis_engine.commits import CommitLog
 from legis_engine.functions.timestamps import by_convention, iso_date, iso_instant, with_date_candidates, with_time_candidates
 from legis_engine.operators import viterbi
 from legis_engine.operators.ledger import StaleWriter, WorkLedger, listings_of, replay, run_outcomes, taken_in, transitions
-from legis_engine.operators.orphans import OrphanState, orphan_references, orphan_state, parent_events, parent_index, references
+from legis_engine.operators.orphans import OrphanState, orphan_references, orphan_state
 from legis_engine.operators.satellites import build_satellite, document_history, history_view, mark_hot
 from legis_engine.operators.snapshots import corpus_changes
 from legis_engine.operators.timestamps import normalise_times
@@ -225,6 +225,13 @@ def test_problem_3(spark):
     assert {r.run_id for r in led.where("not closed").collect()} <= {12, 13} and {r.run_id for r in led.where("closed").collect()} <= {10, 11, 14, 15}
 
 
+def test_problem_3_with_nulls(spark):
+    runs = [(1, "mcl", None, "ok", 0), (2, "mcl", "2024-01-01T00:00:00Z", "ok", 0), (None, "mcl", "2024-01-01T00:00:00Z", "ok", 0), (3, None, None, None, None)]
+    files = [(1, "mcl", "a", None, None, None, None, None), (2, "mcl", "a", None, None, "No/Where", " ", None), (2, "mcl", "b", 1, "x" * 100_000, None, "AA", None), (None, "mcl", "a", 1, None, None, "q", None), (3, None, None, None, None, None, None, None), (9, "mcl", "a", 1, None, None, "z", None)]
+    got = {tuple(r) for r in taken_in(spark.createDataFrame(files, FILES), spark.createDataFrame(runs, RUNS)).collect()}
+    assert got == {(1, "mcl", "a"), (2, "mcl", "b")}  # a run without a start comes first; null listings are equal
+
+
 def test_ledger_moves_of_one_item(spark):
     """Leased, expired, leased again, done; unchanged; changed in a failed run only; digests that come and go."""
     at = lambda sha, size=1: (sha, size, 0)
@@ -309,6 +316,19 @@ def test_problem_4(spark):
     assert orphan_references(x, d.limit(0), a.limit(0)).where("reason <> 'missing'").count() == 0
 
 
+def test_problem_4_with_nulls_long_keys_and_clashing_columns(spark):
+    """A reference without a time waits if its parent is unknown and is no case otherwise; columns named like the state's are ignored."""
+    at = datetime(2024, 1, 5)
+    x = [(None, None, "MCL 1.1", None, 1, True, "k"), (1, "mcl", "MCL 1.1", None, 1, True, "k"), (2, "mcl", "MCL 9.9", None, 1, True, None), (3, "mcl", "x" * 100_000, at, 1, True, "k"), (None, "mcl", "MCL 9.9", at, 1, True, "k"), (None, "mcl", "MCL 9.9", at, 2, None, "k")]
+    refs = spark.createDataFrame(x, "xref_id bigint, to_kind string, to_key string, found_at timestamp_ntz, t bigint, dead boolean, batch string")
+    d = spark.createDataFrame([("mcl", "MCL 1.1", "", None, None, "k"), ("mcl", "MCL 1.2", "", "junk", "2024-01-01T00:00:00Z", "k"), (None, None, None, None, None, None)], DOCS)
+    a = spark.createDataFrame([(None, None, None)], PACTS)
+    got = sorted(((r.xref_id, r.to_table, r.period, r.reason) for r in orphan_references(refs, d, a).collect()), key=str)
+    assert got == [(2, "documents", None, "missing"), (3, "documents", "2024-01", "missing"), (None, "documents", "2024-01", "missing"), (None, "documents", None, "missing")]
+    late = spark.createDataFrame([(1, "mcl", "MCL 1.2", datetime(2023, 1, 1), 0), (2, "mcl", "MCL 1.2", at, 0)], XREFS)
+    assert [(r.xref_id, r.reason) for r in orphan_references(late, d, a).collect()] == [(2, "deleted")]  # no date of arrival: always there until removed
+
+
 def test_orphan_state_does_not_depend_on_its_batches(spark):
     tables = orphan_tables(spark)
     rows = lambda df: sorted(map(str, df.collect()))
