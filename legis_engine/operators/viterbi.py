@@ -11,6 +11,8 @@ between its fixed ends. The result costs what a single pass over the whole order
 
 Both passes stream: a record with a single candidate decouples what lies on its two sides, so only
 the records since the last such one are held, whatever the size of the partition.
+
+For sources without stated conventions. Those of problem 1 leave nothing to choose, so no query runs it.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from legis_engine.commits import CommitLog
-from legis_engine.functions.timestamps import by_convention, iso_date, iso_instant, with_date_candidates, with_time_candidates
+from legis_engine.functions.timestamps import by_convention, iso_date, iso_instant, with_date_candidates, with_day, with_instant, with_time_candidates
 from legis_engine.operators import viterbi
 from legis_engine.operators.ledger import StaleWriter, WorkLedger, listings_of, replay, run_outcomes, taken_in, transitions
 from legis_engine.operators.orphans import OrphanState, orphan_references, orphan_state
@@ -163,6 +163,25 @@ def test_problem_1(spark):
     assert normalise_times(p1_tables(spark, [])).count() == 0
 
 
+def test_problem_1_depends_on_the_value_alone(spark):
+    """Neighbours, source and document decide nothing: no path is searched, and a value of a row id under several of them is one row."""
+    files = [(i, s, v, "UTC", None, None) for i, s, v in [(1, "mcl", "2021-12-24T13:00"), (1, "mcr", "2021-12-24T13:00"), (1, None, "2021-12-24T13:00"), (2, "mcl", "25/12/2021 1:00 PM"), (3, "mcl", "2021-12-26T13:00")]]
+    got = normalise_times(p1_tables(spark, files, hist=[(1, 9, "1/2/99"), (1, 10, "1/2/99"), (2, 9, "25/12/1999")]))
+    want = [("history_entries", 1, "2099-01-02"), ("source_files", 1, "2021-12-24T13:00:00Z"), ("source_files", 3, "2021-12-26T13:00:00Z")]
+    assert sorted(tuple(r) for r in got.collect()) == want
+    assert "MapInArrow" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reading_by_convention_without_the_others(spark):
+    odd = ["11/1/2020 1:30 AM", "11/1/2020 01:30 ", "3/4/21 10:00", "29-Feb-00 10:00", "2/29/1900 10:00 AM", "12345678901", "99999999", "2021-03-14 02:30 America/New_York", "2021-01-01T10:00+19:00"]
+    df = spark.createDataFrame([(v, z) for v in [*INSTANTS, *odd] for z in ("America/Detroit", "No/Where", None)], "v string, z string")
+    both = with_instant(with_time_candidates(df, "v", "z", "c"), "v", "z", "i").select("v", "z", "i", by_convention(F.col("c")).alias("w")).collect()
+    assert len(both) == 3 * len([*INSTANTS, *odd]) and all(r.i == r.w for r in both) and sum(r.i is not None for r in both) > 60
+    df = spark.createDataFrame([(v,) for v in [*DATES, "29-Feb-00", "2/29/1900", "31/12/99"]], "v string")
+    both = with_day(with_date_candidates(df, "v", "c"), "v", "i").select("v", "i", by_convention(F.col("c")).alias("w")).collect()
+    assert all(r.i == r.w for r in both) and sum(r.i is not None for r in both) > 13
+
+
 # --- problem 2 ------------------------------------------------------------------------------------
 
 SNAP = "snapshot_no int, source string, citation string, variant string, content_hash string, is_current boolean, _at string, hash string"
